@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import OP5_SQL, op5_embedding_near_dedup
+from .quality import op1_quality
 from .simhash import op3_simhash_near_dedup
+from .topk import OP2_SQL, op2_exact_topk
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_topk, op3_simhash_near_dedup, op5_embedding_near_dedup, op8_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL}
