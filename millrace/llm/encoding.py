@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: White space other than blank, tab, line feed and carriage return: such texts are encoded whole.
-UNUSUAL_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+UNUSUAL_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: A worker's cache is emptied at this many chunks (about 150 bytes each).
 CACHE_CHUNKS = 1_500_000
