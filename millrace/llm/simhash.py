@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import typing
 from collections.abc import Iterator
 from itertools import islice
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, unused_name
 
 SEED = 42
 #: Fingerprints that a shard holds on average, and the most shards the driver's tree has.
@@ -37,26 +38,44 @@ SHARD, MOST_SHARDS = 4096, 65536
 PER_SHARD = 16
 #: Parts of a shard up to this size are compared directly.
 DIRECT = 192
+#: Direct links of a fingerprint to earlier ones of its part, besides the one it was reached by.
+CLOSEST = 4
 _PIECE = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII white space, shingles of `width` words."""
+def _shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, piece by piece: A-Z lower-cased, words between ASCII white space."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
-    if len(words) < width:
-        shingles: Iterator[bytes] = iter([b" ".join(words)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
-        n = len(words) - width + 1
+        return
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else iter([b" ".join(words)])
     one = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
-    for _ in range(0, n, _PIECE):
-        hashes = np.array([one(s, SEED) for s in islice(shingles, _PIECE)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    while piece := [one(s, SEED) for s in islice(shingles, _PIECE)]:
+        yield np.array(piece, dtype="<u8")
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Second, independent hashes made from the first (splitmix64)."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _majorities(text: bytes | None, width: int, more: int = 0) -> list[int]:
+    """The text's fingerprint, and `more` further ones of independent hashes; zero without words."""
+    n, ones = 0, np.zeros((1 + more, 64), dtype=np.int64)
+    for hashes in _shingle_hashes(text, width):
+        n += len(hashes)
+        for i in range(1 + more):
+            hashes = _mixed(hashes) if i else hashes
+            ones[i] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of a UTF-8 text over its shingles of `width` words, repeats included."""
+    return _majorities(text, width)[0]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
@@ -128,16 +147,23 @@ def best_cut(fps: np.ndarray, radius: int) -> tuple | None:
     return best
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that connect the distinct fps as all pairs within the radius would."""
+def forest(fps: np.ndarray, radius: int, direct: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that connect the distinct fps as all pairs within the radius would.
+
+    If `direct`, only pairs within the radius are links: how a breadth-first
+    visit reached each, and its few closest earlier neighbours.
+    """
     if len(fps) < 2:
         return []
     if len(fps) > DIRECT and (cut := best_cut(fps, radius)) is not None:
-        return forest(fps[cut[2]], radius) + forest(fps[cut[3]], radius)
+        return forest(fps[cut[2]], radius, direct) + forest(fps[cut[3]], radius, direct)
     if len(fps) <= DIRECT:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+        apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+        near = apart <= radius
         if near.sum() == len(fps):
             return []
+        if direct:
+            return _direct(fps, near, apart)
         labels = np.arange(len(fps))
         while True:
             lower = np.where(near, labels[None, :], len(fps)).min(axis=1)
@@ -150,40 +176,69 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
             root, queue = rest[0], [rest[0]]
             labels[root], rest = root, rest[1:]
             while queue and len(rest):
-                hit = np.bitwise_count(fps[rest] ^ fps[queue.pop()]) <= radius
-                labels[rest[hit]] = root
+                at = queue.pop()
+                hit = np.bitwise_count(fps[rest] ^ fps[at]) <= radius
+                labels[rest[hit]] = at if direct else root
                 queue += rest[hit].tolist()
                 rest = rest[~hit]
     linked = labels != np.arange(len(fps))
     return [(fps[linked], fps[labels[linked]])] if linked.any() else []
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, radius: int = 2, shard: int = SHARD) -> DataFrame:
-    """One row per document: key, fp (signed long), component_id (smallest key reachable by links of at most `radius` bits)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    prints = scratch.save(fingerprints(docs, text, key, width))
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    distinct = scratch.save(distinct)
-    n = distinct.count()
-    shards = min(MOST_SHARDS, max(1, -(-n // shard)))
+def _direct(fps: np.ndarray, near: np.ndarray, apart: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    some = np.flatnonzero(near.sum(axis=1) > 1)
+    fps, near, apart = fps[some], near[np.ix_(some, some)], apart[np.ix_(some, some)]
+    n = len(fps)
+    earlier = np.where(np.tril(near, -1), apart, 255)
+    few = np.argsort(earlier, axis=1, kind="stable")[:, :CLOSEST]
+    i, j = np.nonzero(np.take_along_axis(earlier, few, axis=1) < 255)
+    out, seen = [(fps[i], fps[few[i, j]])], np.zeros(n, dtype=bool)
+    for root in range(n):
+        queue = [] if seen[root] else [root]
+        seen[root] = True
+        while queue:
+            at = queue.pop()
+            hit = np.flatnonzero(near[at] & ~seen)
+            seen[hit] = True
+            queue += hit.tolist()
+            if len(hit):
+                out.append((fps[hit], np.full(len(hit), fps[at])))
+    return out
+
+
+def linked_prints(distinct: DataFrame, radius: int = 2, shard: int = SHARD, direct: bool = False) -> DataFrame:
+    """Links (t, a, b) that connect the distinct fingerprints (columns t, fp) of each table t as all
+    pairs at most `radius` bits apart would."""
+    sizes = {r["t"]: r["n"] for r in distinct.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few tables
+    shards = {t: min(MOST_SHARDS, max(1, -(-n // shard))) for t, n in sizes.items()}
     # a bounded sample chooses vantage points only; every fingerprint is routed and compared
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(min(n, shards * PER_SHARD) if shards > 1 else 1).toPandas()["fp"]
-    tree = VantageTree(sample.to_numpy(dtype="i8").view("u8"), shards, radius)
+    sample = distinct.select("t", "fp").orderBy(F.xxhash64("fp"), "t", "fp").limit(sum(shards.values()) * PER_SHARD if any(n > 1 for n in shards.values()) else 1).toPandas()
+    trees = {t: VantageTree(sample["fp"][sample["t"] == t].to_numpy(dtype="i8").view("u8"), n, radius) for t, n in shards.items()}
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype("i8").view("u8")
-            rows, leaves = tree.route(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(fps[rows].view("i8"))], ["leaf", "fp"])
+            tables = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = batch.column(1).to_numpy(zero_copy_only=False).astype("i8").view("u8")
+            for t in np.unique(tables).tolist():
+                own = fps[tables == t]
+                rows, leaves = trees[t].route(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype="i4")), pa.array(leaves), pa.array(own[rows].view("i8"))], ["t", "leaf", "fp"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        links = forest(group["fp"].to_numpy(dtype="i8").view("u8"), radius)
+        links = forest(group["fp"].to_numpy(dtype="i8").view("u8"), radius, direct)
         a, b = ([np.concatenate(x).view("i8") for x in zip(*links)]) if links else ([], [])
-        return pd.DataFrame({"a": np.array(a, dtype="i8"), "b": np.array(b, dtype="i8")})
+        return pd.DataFrame({"t": np.full(len(a), group["t"].iloc[0], dtype="i4"), "a": np.array(a, dtype="i8"), "b": np.array(b, dtype="i8")})
+
+    routed = distinct.select("t", "fp").mapInArrow(route, "t int, leaf long, fp long")
+    return routed.groupBy("t", "leaf").applyInPandas(compare, "t int, a long, b long")
 
-    links = distinct.select("fp").mapInArrow(route, "leaf long, fp long").groupBy("leaf").applyInPandas(compare, "a long, b long")
-    components = connected_components(scratch, links)
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, radius: int = 2, shard: int = SHARD) -> DataFrame:
+    """One row per document: key, fp (signed long), component_id (smallest key reachable by links of at most `radius` bits)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(fingerprints(docs, text, key, width))
+    distinct = scratch.save(prints.groupBy(F.lit(0).alias("t"), "fp").agg(F.min(key).alias("least")))
+    components = connected_components(scratch, linked_prints(distinct, radius, shard).select("a", "b"))
     roots = distinct.join(components, distinct.fp == components.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = scratch.save(roots)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -191,6 +246,60 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return prints.join(named, prints.fp == named._fp).select(key, "fp", "component_id")
 
 
+def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
+    """Share of two texts' distinct shingles that they have in common; texts without words are alike."""
+    x, y = (set(zip(*[w[i:] for i in range(width)])) or {tuple(w)} for w in ((t or b"").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, shingle: int = 5, width: int = 2, radius: int = 2, prints: int = 3, apart: int = 52) -> DataFrame:
+    """docs with one row, of the smallest key, for each group of texts linked by a shingle Jaccard of at least `similarity`.
+
+    A text whose similarity is near 0.8 differs in too many of 64 bits for a
+    vantage-point tree to prune anything.  So the tree searches each half of
+    `prints` independent fingerprints over pairs of words, where such texts are
+    nearly always within `radius` of 32 bits in one of the halves (measured
+    recall 0.99).  Candidates at most `apart` of all bits apart are confirmed
+    by the exact similarity of their texts.  Rows whose fingerprints are all
+    equal are one candidate.  A row without a key comes before those with one.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    row, bits = unused_name(docs, "_row"), unused_name(docs, "_prints")
+
+    def printed(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.array(_majorities(t, width, prints - 1), dtype="u8").view("i8") for t in batch], dtype=object)
+
+    printed.__annotations__ = {"texts": typing.Iterator[pd.Series], "return": typing.Iterator[pd.Series]}
+    wide = docs.select("*", F.pandas_udf(printed, "array<long>")(F.col(text).cast("binary")).alias(bits))
+    wide = scratch.save(wide.withColumn(row, F.monotonically_increasing_id()))
+    classes = wide.groupBy(F.col(bits).alias("h")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(row).alias("r"))).alias("least"))
+    classes = scratch.save(classes.select("h", "least.k", "least.r"))
+    halves = F.flatten(F.transform("h", lambda x: F.array(x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))))
+    own = classes.select("r", F.posexplode(halves).alias("t", "fp"))
+    distinct = scratch.save(own.groupBy("t", "fp").agg(F.min("r").alias("node")))
+    one, two = (distinct.select("t", F.col("fp").alias(fp), F.col("node").alias(node)) for fp, node in (("a", "u"), ("b", "v")))
+    found = linked_prints(distinct, radius, direct=True).join(one, ["t", "a"]).join(two, ["t", "b"]).select("u", "v")
+    found = found.union(own.join(distinct, ["t", "fp"]).where("r <> node").select("r", "node"))
+    edges = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    one, two = (classes.select(F.col("r").alias(node), F.col("h").alias(h)) for node, h in (("u", "g"), ("v", "h")))
+    differing = sum(F.bit_count(F.get("g", F.lit(i)).bitwiseXOR(F.get("h", F.lit(i)))) for i in range(prints))
+    edges = scratch.save(edges.join(one, "u").join(two, "v").where(differing <= apart).select("u", "v"))
+    one, two = (wide.select(F.col(row).alias(node), F.col(text).cast("binary").alias(t)) for node, t in (("u", "p"), ("v", "q")))
+
+    def confirmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = [jaccard(p.as_py(), q.as_py(), shingle) >= similarity for p, q in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = edges.join(one, "u").join(two, "v").select("u", "v", "p", "q")
+    components = connected_components(scratch, pairs.mapInArrow(confirmed, "u long, v long").toDF("a", "b"))
+    grouped = classes.join(components, F.col("r") == F.col("node"), "left").withColumn("root", F.coalesce("component", "r"))
+    kept = grouped.groupBy("root").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
+    gone = scratch.save(wide.select(F.col(row).alias("_gone")).join(kept, F.col("_gone") == F.col("_kept"), "left_anti"))
+    return wide.join(gone, F.col(row) == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
