@@ -1,11 +1,11 @@
-"""The registered queries over the provided tables and their SQL counterparts."""
+"""Where queries and their SQL counterparts are registered."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,17 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    """SELECT o_orderkey, round(sum(coalesce(l_extendedprice * (1 - l_discount), 0)), 2) AS revenue, count(*) AS cnt
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
-    GROUP BY o_orderkey ORDER BY revenue DESC, o_orderkey LIMIT 10"""
-)
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten orders of building-segment customers with the highest revenue."""
-    customers = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
-    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    items = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    revenue = F.sum(F.coalesce(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.lit(0.0)))
-    grouped = items.groupBy("o_orderkey").agg(F.round(revenue, 2).alias("revenue"), F.count(F.lit(1)).alias("cnt"))
-    return grouped.orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; only a local session may leave spark.checkpoint.dir unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
