@@ -77,7 +77,7 @@ def to_whole(column: Column, kind: str, of: str = "string", locale: str = "invar
     else:
         number = column.try_cast("decimal(38,0)") if of.startswith(("tinyint", "smallint", "int", "bigint")) else column.try_cast(WIDE)
     rounded = F.bround(number, 0)
-    return F.when((rounded >= F.lit(low).cast("decimal(38,0)")) & (rounded <= F.lit(high).cast("decimal(38,0)")), rounded).try_cast(target)
+    return F.when((rounded >= F.lit(str(low)).cast("decimal(38,0)")) & (rounded <= F.lit(str(high)).cast("decimal(38,0)")), rounded).try_cast(target)
 
 
 def to_real(column: Column, kind: str = "double", of: str = "string", locale: str = "invariant", strip: tuple[str, ...] = ()) -> Column:

@@ -15,7 +15,7 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: str, col
 
 def read_json_documents(spark: SparkSession, path: str | list[str], schema: str, column: str = "value") -> DataFrame:
     """A row for each file; a file that is no such document gives null."""
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias(column))
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias(column))
 
 
 def parse_json(df: DataFrame, column: str, schema: str, target: str) -> DataFrame:
