@@ -50,6 +50,41 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows in a batch that Spark hands to a Python worker, where rows hold whole texts.
+TEXT_BATCH = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to TEXT_BATCH rows, so that long texts do not fill a worker.  Lower settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
+class Recent(dict):
+    """A worker's memory of what it has derived, in two generations: whatever is asked for again moves to
+    the young one; when that is full, it becomes the old one and the old one is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def recall(self, keys: set) -> list:
+        """Brings known keys into this generation and returns those to be derived."""
+        old, fresh = self.old, []
+        for key in keys.difference(self):
+            if key in old:
+                self[key] = old[key]
+            else:
+                fresh.append(key)
+        return fresh
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 def small_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,9 +1,9 @@
 """Token ids of whole texts, equal to what the tokenizers library returns for
-each text, with a per-worker cache of white-space delimited chunks.
+each text, with a bounded per-worker cache of white-space delimited chunks.
 
 Both public vocabularies used here never merge across the start of a
 white-space run, so a text is cut into chunks (white space, then non-space) and
-each distinct chunk is encoded once per Python worker.  Missing chunks of a
+a distinct chunk is encoded once while a Python worker remembers it.  Missing chunks of a
 batch are encoded together in one call and cut apart again.  Texts for which
 cutting is not provably neutral (unusual white space, special-token strings)
 are encoded whole by the library.
@@ -16,11 +16,13 @@ import re
 
 import numpy as np
 
+from .common import Recent
+
 #: White space other than blank, tab, line feed and carriage return: such texts are encoded whole.
 UNUSUAL_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: A worker's cache is emptied at this many chunks (about 150 bytes each).
-CACHE_CHUNKS = 1_500_000
+#: Chunks in each of the two generations that a worker remembers (about 220 bytes each).
+CACHE_CHUNKS = 150_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -51,7 +53,7 @@ class ChunkEncoder:
             self.byte_length = np.zeros(self.vocab_size, dtype=np.int64)
             for token, i in vocab.items():
                 self.byte_length[i] = len(token)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(CACHE_CHUNKS)
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -63,12 +65,11 @@ class ChunkEncoder:
         if UNUSUAL_SPACE.search(text) or any(s in text for s in self.specials):
             return self._plain(text).tobytes()
         chunks, cache = CHUNK.findall(text), self.cache
-        if missing := set(chunks).difference(cache):
-            if len(cache) + len(missing) > CACHE_CHUNKS:
-                cache.clear()
-                missing = set(chunks)
-            self._fill(list(missing))
-        return b"".join(map(cache.__getitem__, chunks))
+        if missing := cache.recall(set(chunks)):
+            self._fill(missing)
+        out = b"".join(map(cache.__getitem__, chunks))
+        cache.age()
+        return out
 
     def _fill(self, missing: list[str]) -> None:
         cache, together = self.cache, []

@@ -21,24 +21,21 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .html_blocks import Block, leaf_blocks
 from .html_pages import MAIN, REST, labelled_pages
 
 #: Labelled pages trained on, feature buckets, passes and step size.
 PAGES, BUCKETS, PASSES, RATE, DECAY = 500, 1 << 14, 6, 0.25, 1e-5
 _SENTENCE = re.compile(r"[.!?…][\"'”»)]*$")
-_buckets: dict[str, int] = {}
 
 
+@functools.lru_cache(maxsize=50_000)
 def _bucket(name: str) -> int:
-    found = _buckets.get(name)
-    if found is None:
-        found = _buckets[name] = xxhash.xxh32_intdigest(name) % BUCKETS if len(_buckets) < 500_000 else 0
-        found = _buckets[name] = xxhash.xxh32_intdigest(name) % BUCKETS
-    return found
+    return xxhash.xxh32_intdigest(name) % BUCKETS
 
 
 def features(blocks: list[Block]) -> list[np.ndarray]:
@@ -143,6 +140,8 @@ def main_text(html: str | None, field: Field) -> str:
 def extract(html: Column, field: Field | None = None) -> Column:
     """The main text of each page, as a column."""
     model = field or trained()
+    if spark := SparkSession.getActiveSession():
+        text_batches(spark)
 
     @F.pandas_udf("string")
     def text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ranked
+from .common import Scratch, ranked, text_batches
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["k", "piece", "start", "length", "ids"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(batches, f"k {kind}, piece int, start long, length long, ids binary")
     return rows.withColumnRenamed("k", key)

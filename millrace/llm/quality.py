@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, unused_name
+from .common import Scratch, text_batches, unused_name
 
 #: At most so many labelled rows are fitted on; chosen by a hash of their id.
 SAMPLE = 20_000
@@ -120,6 +120,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text:
     host and path, which Spark broadcasts if they turn out small and else
     splits where a host is hot.
     """
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit_evidence(scratch, docs, labels, text, key, label, sample)
     names = [unused_name(docs, x) for x in ("_evidence", "_host", "_path", "_prior", out)]

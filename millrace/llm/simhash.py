@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, unused_name
+from .common import Scratch, connected_components, text_batches, unused_name
 
 SEED = 42
 #: Fingerprints that a shard holds on average, and the most shards the driver's tree has.
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype="<u8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"))], ["id", "fp"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(batches, f"id {kind}, fp long").toDF(key, "fp")
 
@@ -263,6 +264,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     by the exact similarity of their texts.  Rows whose fingerprints are all
     equal are one candidate.  A row without a key comes before those with one.
     """
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     row, bits = unused_name(docs, "_row"), unused_name(docs, "_prints")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, small_parts
+from .common import Scratch, small_parts, text_batches
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAGIC, HEADER = b"BITTOKEN", "<8sIIQQ"
@@ -137,6 +137,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, text: s
         if held:
             yield close()
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     rows = rows.repartitionByRange(small_parts(docs.sparkSession), F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     return rows.mapInArrow(files, _MANIFEST)

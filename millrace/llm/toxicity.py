@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, unused_name
+from .common import Recent, Scratch, text_batches, unused_name
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -37,8 +37,8 @@ SAMPLE = 20_000
 TERMS, SUPPORT = 4096, 8
 FACTORS, STEPS, RATE, DECAY = 6, 250, 0.08, 2e-4
 THRESHOLD = 0.7
-#: Words remembered by a Python worker.
-_REMEMBER = 600_000
+#: Words in each of the two generations that a Python worker remembers.
+_REMEMBER = 150_000
 
 
 def word_terms(chunk: str) -> set[int]:
@@ -70,18 +70,16 @@ class Machine:
     def scorer(self):
         """Scores one text after another; remembers which chosen terms a chunk has."""
         index = {int(t): i for i, t in enumerate(self.terms)}
-        chunks: dict[str, tuple[int, ...]] = {}
+        chunks = Recent(_REMEMBER)
 
         def score(text: str | None) -> float:
             present: set[int] = set()
-            for chunk in set((text or "").lower().split()):
-                ids = chunks.get(chunk)
-                if ids is None:
-                    if len(chunks) >= _REMEMBER:
-                        chunks.clear()
-                    ids = chunks[chunk] = tuple(index[t] for t in word_terms(chunk) if t in index)
-                if ids:
-                    present.update(ids)
+            own = set((text or "").lower().split())
+            for chunk in chunks.recall(own):
+                chunks[chunk] = tuple(index[t] for t in word_terms(chunk) if t in index)
+            for chunk in own:
+                present.update(chunks[chunk])
+            chunks.age()
             at = np.array(sorted(present), dtype=np.int64)
             v = self.factors[at]
             z = self.base + self.weights[at].sum() + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
@@ -126,6 +124,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, text: str = "text"
     Only `sample` labelled rows, the first by a hash of their key, are fitted
     on, so the sample that is broadcast has 16 bytes a row at most.
     """
+    text_batches(docs.sparkSession)
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     marked = scratch.save(marked.orderBy(F.xxhash64("_key"), "_key").limit(sample))
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(marked), F.col("_doc") == F.col("_key"))
@@ -169,6 +168,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, text: str = "text"
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each whole text, from 0 to 1, in a column `out`."""
+    text_batches(docs.sparkSession)
     if machine is None:
         return docs.withColumn(out, F.lit(0.0))
 
