@@ -61,28 +61,28 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_BATCH))
 
 
-class Recent(dict):
+class Recent:
     """A worker's memory of what it has derived, in two generations: whatever is asked for again moves to
     the young one; when that is full, it becomes the old one and the old one is forgotten."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
 
     def recall(self, keys: set) -> list:
-        """Brings known keys into this generation and returns those to be derived."""
-        old, fresh = self.old, []
-        for key in keys.difference(self):
+        """Brings known keys into the young generation and returns those to be derived."""
+        young, old, fresh = self.young, self.old, []
+        for key in keys.difference(young):
             if key in old:
-                self[key] = old[key]
+                young[key] = old[key]
             else:
                 fresh.append(key)
         return fresh
 
     def age(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
 
 
 def small_parts(spark: SparkSession) -> int:

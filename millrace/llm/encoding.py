@@ -64,15 +64,15 @@ class ChunkEncoder:
             return b""
         if UNUSUAL_SPACE.search(text) or any(s in text for s in self.specials):
             return self._plain(text).tobytes()
-        chunks, cache = CHUNK.findall(text), self.cache
-        if missing := cache.recall(set(chunks)):
+        chunks = CHUNK.findall(text)
+        if missing := self.cache.recall(set(chunks)):
             self._fill(missing)
-        out = b"".join(map(cache.__getitem__, chunks))
-        cache.age()
+        out = b"".join(map(self.cache.young.__getitem__, chunks))
+        self.cache.age()
         return out
 
     def _fill(self, missing: list[str]) -> None:
-        cache, together = self.cache, []
+        cache, together = self.cache.young, []
         for chunk in missing:
             if ("|" in chunk) if self.word_ends else (chunk[0] not in " \n\t\r" or chunk[-1] in " \n\t\r"):
                 cache[chunk] = self._plain(chunk).tobytes()

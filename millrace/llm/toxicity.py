@@ -76,9 +76,9 @@ class Machine:
             present: set[int] = set()
             own = set((text or "").lower().split())
             for chunk in chunks.recall(own):
-                chunks[chunk] = tuple(index[t] for t in word_terms(chunk) if t in index)
+                chunks.young[chunk] = tuple(index[t] for t in word_terms(chunk) if t in index)
             for chunk in own:
-                present.update(chunks[chunk])
+                present.update(chunks.young[chunk])
             chunks.age()
             at = np.array(sorted(present), dtype=np.int64)
             v = self.factors[at]
