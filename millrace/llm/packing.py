@@ -131,6 +131,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     rows = pieces.select(F.col(length).cast("long").alias("_length"), F.struct(*kept).alias("_row")).withColumn("_fall", -F.col("_length"))
     rows = rows.select("*", *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = scratch.save(rows)  # a range sort reads its input twice
     rows = scratch.save(ranked(scratch, rows, ["_fall"], [f"_o{i}" for i in range(len(order))], "_rank"))
     left = {r["_length"]: r["n"] for r in rows.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     if left and not 1 <= min(left) <= max(left) <= capacity:
