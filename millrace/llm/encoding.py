@@ -22,7 +22,7 @@ from .common import Recent
 UNUSUAL_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Chunks in each of the two generations that a worker remembers (about 220 bytes each).
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 500_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
