@@ -31,6 +31,8 @@ from .common import Scratch, text_batches, unused_name
 #: At most so many labelled rows are fitted on; chosen by a hash of their id.
 SAMPLE = 20_000
 THRESHOLD = 0.5
+#: Priors of at most so many paths are broadcast, counted first; beyond that Spark chooses the join.
+FEW_PATHS = 20_000
 #: Bounds of the estimated prior strengths, in documents.
 WEAKEST, STRONGEST = 2.0, 1000.0
 
@@ -117,7 +119,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text:
     """docs with `out`, the posterior probability that the document is good.
 
     Only three numbers a path are grouped; the statistics are joined back by
-    host and path, which Spark broadcasts if they turn out small and else
+    host and path.  They are broadcast if the counted paths are at most
+    FEW_PATHS, so that no text is shuffled; else Spark chooses the join and
     splits where a host is hot.
     """
     text_batches(docs.sparkSession)
@@ -137,6 +140,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text:
     joined = paths.join(hosts, F.col(h).eqNullSafe(F.col("_h")))
     k_path = _strength(joined, "m")
     priors = joined.select(F.col(h).alias("_h"), F.col(p).alias("_p"), (k_path * F.col("m") + F.col("s")).alias("_s"), (k_path + F.col("n")).alias("_n"))
+    if paths.count() <= FEW_PATHS:
+        priors = F.broadcast(priors)
     rest = (F.col("_s") - chance) / (F.col("_n") - 1)
     found = judged.join(priors, F.col(h).eqNullSafe(F.col("_h")) & F.col(p).eqNullSafe(F.col("_p")))
     found = found.withColumn(prior, rest).withColumn(out, 1 / (1 + F.exp(-(F.col(evidence) + _logit(F.col(prior))))))
