@@ -247,6 +247,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return prints.join(named, prints.fp == named._fp).select(key, "fp", "component_id")
 
 
+def _words_hash(text: bytes | None) -> list[int]:
+    """128 bits that tell sequences of words apart, as two numbers."""
+    return list(divmod(xxhash.xxh3_128_intdigest(b" ".join((text or b"").lower().split()), SEED), 1 << 64))
+
+
 def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
     """Share of two texts' distinct shingles that they have in common; texts without words are alike."""
     x, y = (set(zip(*[w[i:] for i in range(width)])) or {tuple(w)} for w in ((t or b"").lower().split() for t in (a, b)))
@@ -261,8 +266,9 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     `prints` independent fingerprints over pairs of words, where such texts are
     nearly always within `radius` of 32 bits in one of the halves (measured
     recall 0.99).  Candidates at most `apart` of all bits apart are confirmed
-    by the exact similarity of their texts.  Rows whose fingerprints are all
-    equal are one candidate.  A row without a key comes before those with one.
+    by the exact similarity of their texts.  Only rows of the same words in the
+    same order are one class without that.  A row without a key comes before
+    those with one.
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-duplicates")
@@ -270,14 +276,14 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
 
     def printed(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([np.array(_majorities(t, width, prints - 1), dtype="u8").view("i8") for t in batch], dtype=object)
+            yield pd.Series([np.array(_majorities(t, width, prints - 1) + _words_hash(t), dtype="u8").view("i8") for t in batch], dtype=object)
 
     printed.__annotations__ = {"texts": typing.Iterator[pd.Series], "return": typing.Iterator[pd.Series]}
     wide = docs.select("*", F.pandas_udf(printed, "array<long>")(F.col(text).cast("binary")).alias(bits))
     wide = scratch.save(wide.withColumn(row, F.monotonically_increasing_id()))
     classes = wide.groupBy(F.col(bits).alias("h")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(row).alias("r"))).alias("least"))
     classes = scratch.save(classes.select("h", "least.k", "least.r"))
-    halves = F.flatten(F.transform("h", lambda x: F.array(x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))))
+    halves = F.flatten(F.transform(F.slice("h", 1, prints), lambda x: F.array(x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))))
     own = classes.select("r", F.posexplode(halves).alias("t", "fp"))
     distinct = scratch.save(own.groupBy("t", "fp").agg(F.min("r").alias("node")))
     one, two = (distinct.select("t", F.col("fp").alias(fp), F.col("node").alias(node)) for fp, node in (("a", "u"), ("b", "v")))

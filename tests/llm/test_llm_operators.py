@@ -197,6 +197,15 @@ def test_confirmed_near_duplicates(spark):
     assert simhash.without_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_equal_prints_of_different_texts_both_stay(spark):
+    r = random.Random(5)
+    line = " ".join(f"menu{i}" for i in range(9))
+    texts = [" ".join([line] * 100 + [f"own{r.randrange(10**6)}" for _ in range(150)]) for _ in range(4)]
+    assert len({tuple(simhash._majorities(t.encode(), 2, 2)) for t in texts}) == 1
+    kept = [x.doc_id for x in simhash.without_near_duplicates(docs(spark, [*texts, texts[0].replace(" ", "  ").upper()])).collect()]
+    assert sorted(kept) == [0, 1, 2, 3]
+
+
 # token ids
 
 
