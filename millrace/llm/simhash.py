@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import typing
 from collections.abc import Iterator
 from itertools import islice
@@ -41,6 +42,11 @@ DIRECT = 192
 #: Direct links of a fingerprint to earlier ones of its part, besides the one it was reached by.
 CLOSEST = 4
 _PIECE = 1 << 16
+#: Texts sampled to learn which shingles are common, and the most of those that are remembered: both set the order of
+#: shingles only, under every order the same pairs are found.
+COMMON_FROM, MOST_COMMON = 8192, 200_000
+#: Texts of a shingle's group that are compared with as many others in one task.
+GROUP = 256
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -258,6 +264,77 @@ def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
     return len(x & y) / len(x | y)
 
 
+def _shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, ascending; those of `jaccard`, up to collisions of 64 bits."""
+    words = (text or b"").lower().split()
+    one = xxhash.xxh64_intdigest
+    if len(words) < width:
+        return np.array([one(b" ".join(words), SEED)], dtype="u8")
+    hashes = np.array([one(w, SEED) for w in words], dtype="u8")
+    n = len(words) - width + 1
+    out = hashes[:n]
+    for i in range(1, width):
+        out = _mixed(out) ^ hashes[i : n + i]
+    return np.unique(_mixed(out))
+
+
+def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (u < v) of parts' rows (r, c: a long, its component) of different components that hold all whose texts
+    (r, t, binary) have a shingle Jaccard of at least `similarity`.
+
+    Under a fixed order of all shingles, two such texts of m and n shingles
+    share one among the first m - ceil(m * similarity) + 1 and n - ceil(n *
+    similarity) + 1 of theirs.  Common shingles come last in the order.  Texts
+    are grouped by each shingle; only groups of several components are compared,
+    block of texts against block, by lengths and by what can still be shared
+    behind the shingle.
+    """
+    spark = texts.sparkSession
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(t.as_py(), shingle).view("i8"))], ["s"])
+
+    share = min(1.0, COMMON_FROM / max(1, parts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("r"), F.lit(1 << 32)) < int(share * (1 << 32))).select("t")
+    common = sample.mapInArrow(counted, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = common.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas().sort_values("s")
+    known, times = common["s"].to_numpy("i8"), common["n"].to_numpy("i8")
+
+    def firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found, sizes = [], []
+            for t in batch.column(1):
+                own = _shingle_set(t.as_py(), shingle).view("i8")
+                often = np.zeros(len(own), dtype="i8")
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[at] == own, times[at], 0)
+                found.append(own[np.lexsort((own, often))[: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1]])
+                sizes.append(len(own))
+            ends = np.cumsum([0, *map(len, found)], dtype="i4")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.array([], dtype="i8")])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], ["r", "n", "own"])
+
+    prefixes = scratch.save(texts.select(F.col("r").alias("_r"), "t").mapInArrow(firsts, "_r long, n int, own array<long>"))
+    posted = prefixes.join(parts, F.col("_r") == F.col("r")).select(F.posexplode("own").alias("i", "s"), "r", "c", "n")
+    posted = scratch.save(posted)
+    scratch.drop(prefixes)
+    groups = posted.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+    groups = groups.select(F.col("s").alias("shared"), F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
+    several = scratch.save(posted.join(groups, F.col("s") == F.col("shared")).select("s", "r", "c", "n", "i", "blocks"))
+    block = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
+    one = several.select("s", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), *[F.col(x).alias(x + "1") for x in "rcni"])
+    two = several.select("s", block.alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), *[F.col(x).alias(x + "2") for x in "rcni"])
+    long_enough = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-6
+    enough_left = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) >= (F.col("n1") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
+    found = one.join(two, ["s", "x", "y"]).where((F.col("r1") < F.col("r2")) & (F.col("c1") != F.col("c2")) & long_enough & enough_left)
+    found = scratch.save(found.select(F.col("r1").alias("u"), F.col("r2").alias("v")).distinct())
+    scratch.drop(posted, several)
+    return found
+
+
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, shingle: int = 5, width: int = 2, radius: int = 2, prints: int = 3, apart: int = 52) -> DataFrame:
     """docs with one row, of the smallest key, for each group of texts linked by a shingle Jaccard of at least `similarity`.
 
@@ -266,9 +343,10 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     `prints` independent fingerprints over pairs of words, where such texts are
     nearly always within `radius` of 32 bits in one of the halves (measured
     recall 0.99).  Candidates at most `apart` of all bits apart are confirmed
-    by the exact similarity of their texts.  Only rows of the same words in the
-    same order are one class without that.  A row without a key comes before
-    those with one.
+    by the exact similarity of their texts.  What the tree leaves in different
+    components then goes through `similar_candidates`, which misses no pair, and
+    the same confirmation.  Only rows of the same words in the same order are
+    one class without that.  A row without a key comes before those with one.
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-duplicates")
@@ -300,8 +378,15 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
             keep = [jaccard(p.as_py(), q.as_py(), shingle) >= similarity for p, q in zip(batch.column(2), batch.column(3))]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = edges.join(one, "u").join(two, "v").select("u", "v", "p", "q")
-    components = connected_components(scratch, pairs.mapInArrow(confirmed, "u long, v long").toDF("a", "b"))
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(one, "u").join(two, "v").select("u", "v", "p", "q")
+        return pairs.mapInArrow(confirmed, "u long, v long").toDF("a", "b")
+
+    components = connected_components(scratch, links(edges))
+    parts = classes.join(components, F.col("r") == F.col("node"), "left").select("r", F.coalesce("component", "r").alias("c"))
+    texts = wide.select(F.col(row).alias("r"), F.col(text).cast("binary").alias("t"))
+    rest = links(similar_candidates(scratch, texts, scratch.save(parts), similarity, shingle))
+    components = connected_components(scratch, rest.union(components.toDF("a", "b")))
     grouped = classes.join(components, F.col("r") == F.col("node"), "left").withColumn("root", F.coalesce("component", "r"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
     gone = scratch.save(wide.select(F.col(row).alias("_gone")).join(kept, F.col("_gone") == F.col("_kept"), "left_anti"))

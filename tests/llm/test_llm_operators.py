@@ -206,6 +206,31 @@ def test_equal_prints_of_different_texts_both_stay(spark):
     assert sorted(kept) == [0, 1, 2, 3]
 
 
+def kept_by_all_pairs(texts, similarity=0.8):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and simhash.jaccard(texts[i].encode(), texts[j].encode(), 5) >= similarity:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return set(root)
+
+
+def test_similar_pairs_inside_a_template_are_found(spark, monkeypatch):
+    """Documents of one template, of which a few pairs are similar enough; groups of a shingle take several blocks."""
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(170)]
+    texts = [" ".join([f"o{r.randrange(10**6)}" for _ in range(24)] + template) for _ in range(300)]
+    for i in range(0, 60, 3):
+        words = texts[i].split()
+        texts.append(" ".join([f"p{r.randrange(10**6)}" for _ in range(14)] + words[14:]))
+    want = kept_by_all_pairs(texts)
+    assert 300 <= len(want) < 320
+    kept = {x.doc_id for x in simhash.without_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == want
+
+
 # token ids
 
 
