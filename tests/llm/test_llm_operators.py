@@ -216,6 +216,24 @@ def kept_by_all_pairs(texts, similarity=0.8):
     return set(root)
 
 
+def test_cut_appended_and_replaced_copies_go(spark):
+    r = random.Random(11)
+    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts, line = [], {x: " ".join(f"{x}{i}" for i in range(9)) for x in "ab"}
+    for _ in range(40):
+        b = some(500)
+        at = r.randrange(440)
+        texts += [" ".join(x) for x in (b, b[:405], some(500) + some(9))] + [" ".join(some(500))]
+        b = some(500)
+        texts += [" ".join(x) for x in (b, b + some(115))]
+        b = some(500)
+        texts += [" ".join(x) for x in (b, b[:at] + some(48) + b[at + 48 :])]
+    b = some(400)
+    texts += [" ".join(b + [line[x]] * 60) for x in "ab"]
+    kept = {x.doc_id for x in simhash.without_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == kept_by_all_pairs(texts)
+
+
 def test_similar_pairs_inside_a_template_are_found(spark, monkeypatch):
     """Documents of one template, of which a few pairs are similar enough; groups of a shingle take several blocks."""
     monkeypatch.setattr(simhash, "GROUP", 16)
