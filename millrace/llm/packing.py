@@ -1,15 +1,19 @@
 """Packing of tokenised documents into sequences of a fixed capacity by bulk-synchronous best-fit.
 
-Pieces are range-sorted by falling length, open sequences (gaps) by their free
-space, and both get ranks within their size.  A superstep sweeps the lengths
-downward over the two histograms (at most `capacity` numbers each): the pieces
-of a length take their successor, the smallest gaps that hold them, as often as
-they fit; of several pieces that want the same gap the rank decides; what finds
-no gap opens sequences.  The sweep's segments, rank range to rank range, are
-joined with pieces and gaps on the executors, gaps are updated, written and
-sorted again, and the next superstep goes on.  Sorting anew merges what earlier
-steps have split, so that a superstep's plan keeps a fixed bound however many
-rows there are.
+Pieces longer than half the capacity open a sequence each.  The others are
+placed in supersteps, longest lengths first, a class of lengths (the next half)
+at a time.  In a superstep the open sequences' gaps and the class's pieces are
+range-sorted together by falling size; a sweep down each range hands every piece
+its successor, the smallest gap still free that holds it.  Pieces that want the
+same gap are served by rank, longest first; those that find none in their range
+are matched, by rank again, with gaps that the ranges of larger sizes have left.
+Gaps are updated and the next superstep goes on; when too few pieces found a gap,
+as many sequences are opened as the class's tokens fill at least.  A gap that
+holds several pieces of the class for certain takes part as so many slots.
+
+The driver sees histograms of sizes (at most `capacity` numbers) and two counts
+a range.  A sweep's task holds one range of the sort, whose ties are cut by row,
+so that no size is hot.
 
 Defined results: null text is an empty document of one end token; null doc_ids
 and repeated rows are packed each; ties of length go by doc_id, start and row;
@@ -19,23 +23,28 @@ of that name.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from dataclasses import dataclass, field
+import math
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import Scratch, ranked, text_batches
+from .common import Scratch, small_parts, text_batches
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Segments that a superstep's plan has at most, give or take one length.
-PLAN = 4000
+#: Classes end at lengths of this size, below which all go together.
+SMALLEST_CLASS = 16
+#: Sequences are opened when a sweep places at most this share of its pieces; the next class joins when at most that share is left.
+FEW_PLACED, FEW_LEFT = 0.3, 0.2
+#: A rest of at most this share of all pieces gets enough new sequences at once.
+TAIL = 0.0005
 
 
 def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -68,105 +77,154 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     return rows.withColumnRenamed("k", key)
 
 
-@dataclass
-class Sweep:
-    """One superstep's plan.  A run of gaps is (source, first rank, count): source is the
-    gap size whose ranks are meant, or -1 for sequences numbered from `opened` on."""
-
-    capacity: int
-    left: dict[int, int]
-    done: dict[int, int]
-    opened: int
-    segments: list[tuple] = field(default_factory=list)
-    runs: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
-
-    def go(self, gaps: dict[int, int], limit: int) -> None:
-        self.runs = {size: [(size, 0, n)] for size, n in gaps.items()}
-        sizes = sorted(self.runs)
-        for length in sorted(self.left, reverse=True):
-            if len(self.segments) >= limit:
-                return
-            waiting = self.left.pop(length)
-            rank = self.done.get(length, 0)
-            while waiting:
-                at = bisect_left(sizes, length)
-                if at == len(sizes):
-                    new = -(-waiting // (self.capacity // length))
-                    self._put(sizes, self.capacity, (-1, self.opened, new))
-                    self.opened += new
-                    continue
-                size = sizes[at]
-                source, first, count = self.runs[size].pop()
-                if not self.runs[size]:
-                    sizes.pop(at)
-                each = size // length
-                used = min(count, -(-waiting // each))
-                placed = min(waiting, used * each)
-                self.segments.append((length, rank, rank + placed, source, first, each, self.capacity - size))
-                full, rest = divmod(placed, each)
-                if full:
-                    self._put(sizes, size - each * length, (source, first, full))
-                if rest:
-                    self._put(sizes, size - rest * length, (source, first + full, 1))
-                if count > used:
-                    self._put(sizes, size, (source, first + used, count - used))
-                rank, waiting = rank + placed, waiting - placed
-            self.done[length] = rank
-
-    def _put(self, sizes: list[int], size: int, run: tuple[int, int, int]) -> None:
-        if size not in self.runs or not self.runs[size]:
-            self.runs[size] = []
-            insort(sizes, size)
-        self.runs[size].append(run)
-
-
-_SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("length_", "from_", "to_", "source", "first", "each", "filled")])
-_RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("gap", "source", "first", "count_")])
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = (), plan: int = PLAN) -> DataFrame:
-    """pieces with sequence_id and offset: each piece (1 <= length <= capacity) in one sequence, gapless from offset 0."""
+def sweep(sizes: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """The mate of each row of a range: sizes fall, gaps come before pieces of their size, `pieces` says which is which.
+
+    Walking down, a piece takes the gap passed last that is still free: the
+    smallest that holds it.  Gaps and pieces without a mate get -1.
+    """
+    depth = np.cumsum(np.where(pieces, -1, 1)) + pieces
+    order = np.argsort(depth, kind="stable")
+    first, second = order[:-1], order[1:]
+    met = (depth[first] == depth[second]) & ~pieces[first] & pieces[second]
+    mate = np.full(len(sizes), -1)
+    mate[first[met]], mate[second[met]] = second[met], first[met]
+    return mate
+
+
+def carried(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which gaps of earlier ranges the pieces left in a range get: (range of pieces, first rank, end, range of gaps, rank of the first piece's gap);
+    further pieces take the gaps before it.  left: pieces and gaps that each range has left."""
+    free: list[list[int]] = []
+    out = []
+    for part in sorted(left):
+        pieces, gaps = left[part]
+        at = 0
+        while at < pieces and free:
+            source, n = free[-1]
+            used = min(n, pieces - at)
+            out.append((part, at, at + used, source, n - 1))
+            at += used
+            free[-1][1] -= used
+            if not free[-1][1]:
+                free.pop()
+        if gaps:
+            free.append([part, gaps])
+    return out
+
+
+_SWEPT = "part int, piece boolean, id long, size int, mate long, mate_size int, rank int"
+
+
+def _swept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweeps a range of the sorted gaps and pieces: a row for each piece or gap without a mate, and for each pair."""
+    batches = list(it)
+    none = (np.zeros(0, "i4"), np.zeros(0, bool), np.zeros(0, "i8"))
+    sizes, pieces, ids = (np.concatenate([x, *(b.column(i).to_numpy(zero_copy_only=False) for b in batches)]) for i, x in enumerate(none))
+    mate = sweep(sizes, pieces)
+    shown = np.flatnonzero(pieces | (mate < 0))
+    alone = mate[shown] < 0
+    rank = np.where(pieces[shown], np.cumsum(pieces[shown] & alone), np.cumsum(~pieces[shown] & alone)) - 1
+    other = [pa.array(x[np.maximum(mate[shown], 0)], mask=alone) for x in (ids, sizes)] if len(shown) else [pa.array([], pa.int64()), pa.array([], pa.int32())]
+    part = np.full(len(shown), TaskContext.get().partitionId(), dtype="i4")
+    out = [pa.array(part), pa.array(pieces[shown]), pa.array(ids[shown]), pa.array(sizes[shown]), *other, pa.array(rank.astype("i4"))]
+    yield pa.RecordBatch.from_arrays(out, ["part", "piece", "id", "size", "mate", "mate_size", "rank"])
+
+
+def _superstep(scratch: Scratch, gaps: DataFrame, pieces: DataFrame, shortest: int, longest: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, waiting, gaps): pieces (id, size) that got a gap (sequence_id), those that got none, and the gaps (sequence_id, free) left.
+    A gap takes part with at most `most` slots."""
+    spark = gaps.sparkSession
+    slots = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("free") / longest).cast("int")))
+    each = F.floor(F.col("free") / F.col("slots")).cast("int")
+    split = gaps.where(F.col("free") >= shortest).withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
+    size = F.when(F.col("slot") < F.col("slots"), each).otherwise(F.col("free") - each * (F.col("slots") - 1))
+    both = split.select(size.alias("size"), F.lit(False).alias("piece"), F.col("sequence_id").alias("id")).union(pieces.select("size", F.lit(True), "id"))
+    order = [F.col("size").desc(), F.col("piece"), F.col("id")]
+    swept = scratch.save(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, _SWEPT))
+    left: dict[int, tuple[int, int]] = {}
+    for r in swept.where("mate IS NULL").groupBy("part").agg(F.count_if("piece").alias("p"), F.count_if(~F.col("piece")).alias("g")).collect():  # a row a range
+        left[r["part"]] = (r["p"], r["g"])
+    plan = F.broadcast(spark.createDataFrame(carried(left), "p int, from int, to int, source int, top int"))
+    alone = swept.where("mate IS NULL")
+    wanting = alone.where("piece").join(plan, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")), "left")
+    wanting = wanting.select("id", "size", "source", (F.col("top") - (F.col("rank") - F.col("from"))).alias("at"))
+    free = alone.where("NOT piece").select(F.col("id").alias("mate"), F.col("size").alias("mate_size"), "part", "rank")
+    late = scratch.save(wanting.join(free, (F.col("source") == F.col("part")) & (F.col("at") == F.col("rank")), "full").select("id", "size", "mate", "mate_size"))
+    met = swept.where("mate IS NOT NULL").select("id", "size", "mate", "mate_size").union(late)
+    placed = met.where("id IS NOT NULL AND mate IS NOT NULL").select("id", "size", F.col("mate").alias("sequence_id"))
+    waiting = late.where("mate IS NULL").select("id", "size")
+    rests = met.where("mate IS NOT NULL").select(F.col("mate").alias("sequence_id"), (F.col("mate_size") - F.coalesce("size", F.lit(0))).alias("free"))
+    rests = rests.union(gaps.where(F.col("free") < shortest).select("sequence_id", "free"))
+    after = rests.groupBy("sequence_id").agg(F.sum("free").cast("int").alias("free")).where("free > 0")
+    return placed, waiting, scratch.save(after)
+
+
+def _histogram(sizes: DataFrame) -> Counter:
+    return Counter({r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()})  # capacity rows at most
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = (), steps: list | None = None) -> DataFrame:
+    """pieces with sequence_id and offset: each piece (1 <= length <= capacity) in one sequence, gapless from offset 0.
+
+    A list given as `steps` gets (pieces, gaps, pieces placed) of each superstep.
+    """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
     kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    rows = pieces.select(F.col(length).cast("long").alias("_length"), F.struct(*kept).alias("_row")).withColumn("_fall", -F.col("_length"))
-    rows = rows.select("*", *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(order)])
-    rows = scratch.save(rows)  # a range sort reads its input twice
-    rows = scratch.save(ranked(scratch, rows, ["_fall"], [f"_o{i}" for i in range(len(order))], "_rank"))
-    left = {r["_length"]: r["n"] for r in rows.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    if left and not 1 <= min(left) <= max(left) <= capacity:
+    rows = pieces.select(F.col(length).cast("int").alias("size"), F.struct(*kept).alias("row")).select("size", "row", *[F.col("row")[c].alias(f"o{i}") for i, c in enumerate(order)])
+    drafted = scratch.save(rows)  # a range sort reads its input twice
+    by = [F.col("size").desc(), *[F.col(f"o{i}") for i in range(len(order))]]
+    rows = drafted.repartitionByRange(small_parts(spark), *by).sortWithinPartitions(*by)
+    rows = scratch.save(rows.select("size", "row", F.monotonically_increasing_id().alias("id")))
+    scratch.drop(drafted)
+    waiting_for = _histogram(rows)
+    if waiting_for and not 1 <= min(waiting_for) <= max(waiting_for) <= capacity:
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
-    gaps, sizes, sweep, placed = None, {}, Sweep(capacity, left, {}, 0), []
-    while sweep.left:
-        base = sweep.opened
-        sweep.segments = []
-        sweep.go(sizes, plan)
-        segments = F.broadcast(spark.createDataFrame(sweep.segments, _SEGMENT))
-        hit = rows.join(segments, (F.col("_length") == F.col("length_")) & (F.col("_rank") >= F.col("from_")) & (F.col("_rank") < F.col("to_")))
-        k = F.col("_rank") - F.col("from_")
-        hit = hit.select("_row", "source", (F.col("first") + F.floor(k / F.col("each"))).alias("at"), (F.col("filled") + k % F.col("each") * F.col("_length")).alias("offset"))
-        fresh = hit.where("source = -1").select("_row", F.col("at").alias("sequence_id"), "offset")
-        if gaps is not None:
-            old = gaps.select(F.col("gap").alias("source"), F.col("_rank").alias("at"), "sequence_id")
-            fresh = fresh.unionByName(hit.join(old, ["source", "at"]).select("_row", "sequence_id", "offset"))
-        placed.append(scratch.save(fresh))
-        if not sweep.left:
-            break
-        least = min(sweep.left)
-        open_runs = [(size, *run) for size, runs in sweep.runs.items() if size >= least for run in runs]
-        runs = F.broadcast(spark.createDataFrame(open_runs, _RUN)).withColumnRenamed("gap", "size")
-        new = spark.range(base, sweep.opened).select(F.col("id").alias("sequence_id"), F.lit(-1).cast("long").alias("s"), F.col("id").alias("r"))
-        if gaps is not None:
-            new = new.unionByName(gaps.select("sequence_id", F.col("gap").alias("s"), F.col("_rank").alias("r")))
-        new = new.join(runs, (F.col("s") == F.col("source")) & (F.col("r") >= F.col("first")) & (F.col("r") < F.col("first") + F.col("count_")))
-        gaps = scratch.save(ranked(scratch, new.select(F.col("size").alias("gap"), "sequence_id"), ["gap"], ["sequence_id"], "_rank"))
-        sizes = {r["gap"]: r["n"] for r in gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not placed:
-        placed = [rows.select("_row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    out = placed[0]
+    total, low = sum(waiting_for.values()), capacity // 2
+    narrow = rows.select("id", "size")
+    own = narrow.where(F.col("size") > low)
+    placed = [own.select("id", "size", (F.col("id") * 2).alias("sequence_id"))]  # even numbers: opened by a piece; odd ones: opened for a class
+    gaps = own.where(F.col("size") < capacity).select((F.col("id") * 2).alias("sequence_id"), (capacity - F.col("size")).alias("free"))
+    free = Counter({capacity - n: count for n, count in waiting_for.items() if low < n < capacity})
+    ahead = Counter({n: count for n, count in waiting_for.items() if n <= low})
+    late, late_rows, opened, must_open, high = Counter(), None, 0, False, low
+    while ahead or late:
+        taken = Counter({n: count for n, count in ahead.items() if n > low}) + late
+        if not taken:
+            low = math.floor(min(low, max(ahead)) / 2)
+            low = low if low >= SMALLEST_CLASS else 0
+            continue
+        shortest, longest, count = min(taken), max(taken), sum(taken.values())
+        open_gaps = sum(n for size, n in free.items() if size >= shortest)
+        if must_open or not open_gaps:
+            new = -(-sum(n * c for n, c in taken.items()) // capacity)
+            if count <= TAIL * total:
+                new = -(-count // (capacity // longest))
+            gaps = gaps.union(spark.range(opened, opened + new).select((F.col("id") * 2 + 1).alias("sequence_id"), F.lit(capacity).alias("free")))
+            opened, open_gaps = opened + new, open_gaps + new
+        now = narrow.where((F.col("size") > low) & (F.col("size") <= high))
+        now = now.union(late_rows) if late_rows is not None else now
+        done, late_rows, gaps = _superstep(scratch, gaps, now, shortest, longest, -(-4 * count // open_gaps))
+        placed.append(done)
+        ahead, high = Counter({n: c for n, c in ahead.items() if n <= low}), low
+        state = late_rows.select(F.lit(True).alias("piece"), "size").union(gaps.select(F.lit(False), F.col("free")))
+        late, free = Counter(), Counter()
+        for r in state.groupBy("piece", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # twice the capacity at most
+            (late if r["piece"] else free)[r["size"]] = r["n"]
+        still = sum(late.values())
+        if steps is not None:
+            steps.append((count, open_gaps, count - still))
+        must_open = still > 0 and count - still <= FEW_PLACED * count
+        if still <= FEW_LEFT * count and low and not must_open:
+            low = low // 2 if low // 2 >= SMALLEST_CLASS else 0
+    found = placed[0]
     for more in placed[1:]:
-        out = out.unionByName(more)
-    return out.select("_row.*", "sequence_id", "offset")
+        found = found.union(more)
+    # a sequence has at most `capacity` pieces
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.select(F.col("id").alias("of"), "sequence_id", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("offset"))
+    return rows.join(found, F.col("id") == F.col("of")).select("row.*", "sequence_id", "offset")
 
 
 def packed_sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:
