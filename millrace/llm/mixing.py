@@ -1,16 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Time is cut into slots of one block of documents each.  Block j of a source
-with weight w is released at floor(j / w) and due at ceil((j + 1) / w); in each
-slot the released block with the earliest deadline goes.  For weights that add up
-to one every block meets its window, so after any number of slots a source is
-less than one block away from its share.
-
-Weights are rounded to shares of PERIOD slots, after which the schedule
-repeats, so the schedule of one period (PERIOD rows, whatever the data) is all
-that is broadcast.  Documents get ranks in their source; rank, period and table
-give the slot without any further shuffle.  The mix is as long as it takes
-for each source to be gone through once; sources that end sooner start over.
+with weight w (an exact fraction; weights add up to one) is released at
+floor(j / w) and due at ceil((j + 1) / w); in each slot the released block with
+the earliest deadline goes.  Every block meets its window, so after any number
+of slots a source is less than one block away from its target weight.
+
+Spans of slots are scheduled by tasks of their own.  A task starts its span with
+every block done that must be by then, and as many of the blocks under way as
+make up the time, earliest deadlines first: from there earliest-deadline-first
+meets every window.  It goes on past its end, beside what the next span starts
+with, until both have the same blocks done; from that slot on they are one
+schedule.  A slot is taken from the earliest span that reaches it, so the spans
+together are one schedule that meets all windows, however long it is.
+
+A task holds the sources' weights and its span.  Documents get ranks in their
+source; source, rank and the slot's block meet by a join of narrow rows.  The
+mix is as long as it takes for each source to be gone through once; sources
+that end sooner start over.
 
 Defined results: rows with a null source form a source of their own; sources
 that weights do not name, or with weight 0, are left out by request only
@@ -21,16 +28,19 @@ columns; an empty table gives no rows; other columns stay, and clashing names ke
 from __future__ import annotations
 
 import heapq
-import math
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch, ranked, unused_name
 
-PERIOD, BLOCK = 4096, 8
+BLOCK = 8
+#: Slots of a span, or four for each source if that is more.
+SPAN = 1 << 14
 #: A source's target weight is its size to this power: large sources a little less, small ones a little more.
 TEMPERING = 0.9
 
@@ -39,82 +49,112 @@ def tempered(sizes: dict[str | None, int], power: float = TEMPERING) -> dict[str
     return {s: n**power for s, n in sizes.items()}
 
 
-def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole slots of a period for each source, at least 1 and together the period: largest remainders."""
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a longer period than {period}")
-    total = sum(map(Fraction, weights.values()))
-    exact = {s: Fraction(w) / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    spare = period - sum(out.values())
-    names = sorted(exact, key=lambda s: (out[s] - exact[s], s is None, s or ""))
-    at = 0
-    while spare:
-        s = names[at % len(names)] if spare > 0 else names[-1 - at % len(names)]
-        if spare > 0 or out[s] > 1:
-            out[s] += 1 if spare > 0 else -1
-            spare += -1 if spare > 0 else 1
-        at += 1
-    return out
-
-
-def schedule(share: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of each block of one period by earliest deadline first."""
-    period = sum(share.values())
-    waiting = [(0, i, s, 0) for i, s in enumerate(share)]  # release, then the order of sources
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str | None, int, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            release, i, s, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(block + 1) * period // share[s]), i, s, block, release))
-        deadline, i, s, block, release = heapq.heappop(ready)
-        out.append((s, block, slot, release, deadline))
-        if block + 1 < share[s]:
-            heapq.heappush(waiting, ((block + 1) * period // share[s], i, s, block + 1))
-    return out
-
-
-_SLOT = T.StructType([T.StructField("_source", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("_block", "_slot", "_release", "_deadline")])
-
-
-def mix(docs: DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_id",), weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, strict: bool = True, ordered: bool = False) -> DataFrame:
+def whole(weights: list[float | Fraction]) -> list[int]:
+    """Integers in exactly the ratio of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*[x.denominator for x in exact])
+    return [int(x * scale) for x in exact]
+
+
+class Trajectory:
+    """Earliest-deadline-first from slot `start` on, over weights that are shares of their sum."""
+
+    def __init__(self, shares: list[int], start: int):
+        self.shares, self.total, self.slot = shares, sum(shares), start
+        self.done = [start * w // self.total for w in shares]
+        under_way = [(self.deadline(s), s) for s, w in enumerate(shares) if start * w % self.total]
+        for _, s in heapq.nsmallest(start - sum(self.done), under_way):
+            self.done[s] += 1
+        self.waiting = [(self.release(s), s) for s in range(len(shares))]
+        heapq.heapify(self.waiting)
+        self.ready: list[tuple[int, int]] = []
+
+    def release(self, s: int) -> int:
+        return self.done[s] * self.total // self.shares[s]
+
+    def deadline(self, s: int) -> int:
+        return -(-(self.done[s] + 1) * self.total // self.shares[s])
+
+    def step(self) -> tuple[int, int, int, int, int]:
+        """(source, block, slot, release, deadline) of the next slot."""
+        while self.waiting and self.waiting[0][0] <= self.slot:
+            s = heapq.heappop(self.waiting)[1]
+            heapq.heappush(self.ready, (self.deadline(s), s))
+        due, s = heapq.heappop(self.ready)
+        out = (s, self.done[s], self.slot, self.release(s), due)
+        self.done[s] += 1
+        self.slot += 1
+        heapq.heappush(self.waiting, (self.release(s), s))
+        return out
+
+
+def span_schedule(shares: list[int], start: int, end: int, slots: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The span's schedule from start to end, and on until it is the next span's, at most to `slots`."""
+    own = Trajectory(shares, start)
+    while own.slot < min(end, slots):
+        yield own.step()
+    if own.slot >= slots:
+        return
+    following = Trajectory(shares, end)
+    apart = {s for s, (a, b) in enumerate(zip(own.done, following.done)) if a != b}
+    while apart and own.slot < slots:
+        one, two = own.step(), following.step()
+        yield one
+        for s in (one[0], two[0]):
+            (apart.discard if own.done[s] == following.done[s] else apart.add)(s)
+
+
+def schedule(spark, shares: list[int], slots: int, span: int = SPAN) -> DataFrame:
+    """(number, source, block, slot, release, deadline) of every slot below `slots`; spans may hold a slot several times, the least number counts."""
+    span = max(span, 4 * len(shares))
+
+    def scheduled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["number", "source", "block", "slot", "release", "deadline"]
+        for batch in it:
+            for number in batch.column(0).to_pylist():
+                rows = span_schedule(shares, number * span, (number + 1) * span, slots)
+                while piece := [(number, *row) for _, row in zip(range(10_000), rows)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*piece)], names)
+
+    spans = -(-slots // span)
+    return spark.range(0, spans, 1, spans).mapInArrow(scheduled, "number long, source long, block long, slot long, release long, deadline long")
+
+
+def mix(docs: DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_id",), weights: dict[str | None, float | Fraction] | None = None, block: int = BLOCK, strict: bool = True, ordered: bool = False, span: int = SPAN) -> DataFrame:
     """docs, repeated as the weights ask for, with slot, position, epoch, release and deadline.
 
     A source's documents are dealt in the given order, block after block; after
     its last document it starts over as the next epoch.  position numbers all
-    rows from 0 without gaps, but for the last period's.  Without weights the
-    sources' sizes are tempered.
+    rows from 0 without gaps.  Without weights the sources' sizes are tempered.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).cast("string").alias("_source"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    rows = ranked(scratch, inner, ["_source"], [f"_o{i}" for i in range(len(order))], "_rank")
-    counted = inner.groupBy("_source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["_source"]: r["n"] for r in counted.orderBy("_source").limit(period + 1).collect()}
+    row = unused_name(docs, "_mixed_row")
+    kept = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = kept.select(F.col(row).alias("row"), F.col(source).cast("string").alias("name"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    sizes = {r["name"]: r["n"] for r in narrow.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy("name").collect()}  # a row a source
     weights = weights if weights is not None else tempered(sizes)
     if strict and (missing := [s for s in sizes if not weights.get(s)]):
         raise ValueError(f"no weight for sources {missing[:10]}")
-    weights = {s: w for s, w in weights.items() if w and s in sizes}
-    names = [unused_name(docs, n) for n in ("slot", "position", "epoch", "release", "deadline")]
-    if not weights:
-        return docs.limit(0).select("*", *[F.lit(0).cast("long").alias(n) for n in names])
-    share = shares(weights, period)
-    slots = max(math.ceil(Fraction(-(-sizes[s] // block) * period, share[s])) for s in share)
-    table = F.broadcast(spark.createDataFrame(schedule(share), _SLOT))
-    counts = F.broadcast(spark.createDataFrame([(s, sizes[s], share[s]) for s in share], "_s string, _size long, _share long"))
-    rows = rows.join(counts, F.col("_source").eqNullSafe(F.col("_s")))
-    # occurrences of a document: its rank, and again every _size, as long as the block lies within the mix
-    last = F.floor((F.lit(slots) * F.col("_share") / period + 1) * block / F.col("_size")).cast("int") + 1
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), last)))
-    at = F.col("_rank") + F.col("_epoch") * F.col("_size")
-    rows = rows.withColumn("_at", at).withColumn("_turn", F.floor(F.col("_at") / block)).withColumn("_cycle", F.floor(F.col("_turn") / F.col("_share")))
-    rows = rows.join(table.withColumnRenamed("_source", "_t"), F.col("_source").eqNullSafe(F.col("_t")) & (F.col("_turn") % F.col("_share") == F.col("_block")))
-    shift = F.col("_cycle") * period
-    rows = rows.withColumn("_when", F.col("_slot") + shift).where(F.col("_when") < slots)
-    out = rows.select("_row.*", *[c.cast("long").alias(n) for c, n in zip((F.col("_when"), F.col("_when") * block + F.col("_at") % block, F.col("_epoch"), F.col("_release") + shift, F.col("_deadline") + shift), names)])
-    return out.sort(names[1]) if ordered else out
+    names = [s for s in sizes if weights.get(s)]
+    added = [unused_name(docs, n) for n in ("slot", "position", "epoch", "release", "deadline")]
+    if not names:
+        return docs.limit(0).select("*", *[F.lit(0).cast("long").alias(n) for n in added])
+    shares = whole([weights[s] for s in names])
+    slots = max(-(--(-sizes[s] // block) * sum(shares) // w) for s, w in zip(names, shares))
+    sources = spark.createDataFrame([(s, i, sizes[s]) for i, s in enumerate(names)], "name_ string, source long, size long")
+    ranks = ranked(scratch, narrow, ["name"], [f"o{i}" for i in range(len(order))], "rank").select("row", "name", "rank")
+    ranks = ranks.join(sources, F.col("name").eqNullSafe(F.col("name_"))).select("row", F.col("source").alias("of"), "rank")
+    turns = scratch.save(schedule(spark, shares, slots, span))
+    turns = turns.groupBy("slot").agg(F.min_by(F.struct("source", "block", "release", "deadline"), "number").alias("turn")).select("slot", "turn.*")
+    dealt = turns.join(sources.select(F.col("source").alias("source_"), "size"), F.col("source") == F.col("source_"))
+    dealt = dealt.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("at", F.col("block") * block + F.col("place"))
+    dealt = dealt.select("source", (F.col("at") % F.col("size")).alias("nth"), "slot", (F.col("slot") * block + F.col("place")).alias("position"), F.floor(F.col("at") / F.col("size")).alias("epoch"), "release", "deadline")
+    dealt = dealt.join(ranks, (F.col("source") == F.col("of")) & (F.col("nth") == F.col("rank")))
+    dealt = dealt.select(F.col("row").alias("row_"), *[F.col(n).cast("long").alias(n) for n in ("slot", "position", "epoch", "release", "deadline")])
+    out = kept.select(F.col(row).alias("row"), F.struct(*docs.columns).alias("doc")).join(dealt, F.col("row") == F.col("row_"))
+    out = out.select("doc.*", *[F.col(n).alias(a) for n, a in zip(("slot", "position", "epoch", "release", "deadline"), added)])
+    return out.sort(added[1]) if ordered else out
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
