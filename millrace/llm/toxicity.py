@@ -1,10 +1,13 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms of a text are its words and their prefixes of four to six letters (so
-that inflected forms share evidence), each a 64-bit hash.  Terms whose presence
-speaks for a label are chosen by grouped counts over the labelled sample; the
-machine then learns a weight and a factor vector for each, so that pairs of
-terms count beyond their single weights.
+that inflected forms share evidence), each hashed into one of 2^18 buckets; no
+term is left out.  The machine has a weight for each bucket and, for pairs of
+terms, a factor vector.  It is trained in two parts: first the weights, by
+follow-the-regularised-leader, whose absolute penalty leaves buckets at zero
+that carry no evidence of their own; then the factors too, which learn from
+what the weights leave unexplained, so that terms that are neutral alone (an
+insult quoted, a group mentioned) still count as a pair.
 
 Labels, language, source and doc_id are never inputs of a score.
 
@@ -17,8 +20,8 @@ are scored each; other columns stay; without labelled rows every score is 0.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,139 +34,132 @@ from .common import Recent, Scratch, text_batches, unused_name
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+BUCKETS, FACTORS = 1 << 18, 6
 #: At most so many labelled rows are fitted on; chosen by a hash of their id.
 SAMPLE = 20_000
-#: At most so many terms are kept, each in at least SUPPORT rows of one label.
-TERMS, SUPPORT = 4096, 8
-FACTORS, STEPS, RATE, DECAY = 6, 250, 0.08, 2e-4
+#: Texts in a training step, passes over the sample, and steps that there are at least.
+BATCH, PASSES, STEPS = 64, 4, 750
+#: Of the weights: step size, penalties of the absolute value (a pass) and of the square.
+RATE, ABSOLUTE, SQUARE = 6.0, 1.25, 0.1
+#: Of the factors: spread of their first values, step size and decay a step, and in how many texts a bucket is before pairs of it can be learned.
+SPREAD, FACTOR_RATE, DECAY, SUPPORT = 0.1, 3.0, 0.001, 8
 THRESHOLD = 0.7
 #: Words in each of the two generations that a Python worker remembers.
-_REMEMBER = 150_000
+_REMEMBER = 100_000
 
 
-def word_terms(chunk: str) -> set[int]:
-    """Signed 64-bit hashes of the words in a white-space delimited, lower-cased chunk, and of their prefixes."""
-    found = set()
+def word_terms(chunk: str) -> bytes:
+    """Buckets, as little-endian 32-bit numbers, of the words in a white-space delimited, lower-cased chunk and of their prefixes."""
+    found = []
     for word in LETTERS.findall(chunk):
         for term in [word] + ["^" + word[:n] for n in PREFIXES if len(word) >= n]:
-            h = xxhash.xxh64_intdigest(term)
-            found.add(h - (1 << 64) if h >> 63 else h)
-    return found
+            found.append(xxhash.xxh64_intdigest(term) % BUCKETS)
+    return np.array(found, dtype="<i4").tobytes()
 
 
-def text_terms(text: str | None) -> set[int]:
-    found: set[int] = set()
-    for chunk in set((text or "").lower().split()):
-        found |= word_terms(chunk)
-    return found
+def term_finder() -> Callable[[str | None], np.ndarray]:
+    """A function from text to its distinct buckets, ascending, that remembers chunks."""
+    chunks = Recent(_REMEMBER)
+
+    def terms(text: str | None) -> np.ndarray:
+        own = set((text or "").lower().split())
+        for chunk in chunks.recall(own):
+            chunks.young[chunk] = word_terms(chunk)
+        found = np.unique(np.frombuffer(b"".join([chunks.young[c] for c in own]), "<i4"))
+        chunks.age()
+        return found
+
+    return terms
 
 
 @dataclass
 class Machine:
-    """score = sigmoid(base + sum of weights + sum over pairs of the dot products of their factors)"""
+    """score = sigmoid(base + sum of weights + sum over pairs of terms of their factors' dot products / number of terms)"""
 
-    terms: np.ndarray  # sorted hashes
     base: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def scorer(self):
-        """Scores one text after another; remembers which chosen terms a chunk has."""
-        index = {int(t): i for i, t in enumerate(self.terms)}
-        chunks = Recent(_REMEMBER)
-
-        def score(text: str | None) -> float:
-            present: set[int] = set()
-            own = set((text or "").lower().split())
-            for chunk in chunks.recall(own):
-                chunks.young[chunk] = tuple(index[t] for t in word_terms(chunk) if t in index)
-            for chunk in own:
-                present.update(chunks.young[chunk])
-            chunks.age()
-            at = np.array(sorted(present), dtype=np.int64)
-            v = self.factors[at]
-            z = self.base + self.weights[at].sum() + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
-            return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
-
-        return score
-
-
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray) -> Machine:
-    """Full-batch Adam on the logistic loss; rows hold positions in terms.  Deterministic."""
-    n, m = len(rows), len(terms)
-    rate = min(max(labels.mean(), 1e-3), 1 - 1e-3) if n else 1e-3
-    base = np.array([np.log(rate / (1 - rate))])
-    weights, factors = np.zeros(m), np.random.default_rng(7).normal(0, 0.02, (m, FACTORS))
-    flat = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    params = [base, weights, factors]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, STEPS + 1 if n and m else 1):
-        v = factors[flat]
-        sums = np.stack([np.bincount(owner, weights=v[:, f], minlength=n) for f in range(FACTORS)], axis=1)
-        squares = np.bincount(owner, weights=(v**2).sum(axis=1), minlength=n)
-        z = base[0] + np.bincount(owner, weights=weights[flat], minlength=n) + 0.5 * ((sums**2).sum(axis=1) - squares)
-        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels) / n
-        pull = error[owner]
-        slope = (sums[owner] - v) * pull[:, None]
-        grads = [
-            np.array([error.sum()]),
-            np.bincount(flat, weights=pull, minlength=m) + DECAY * weights / m,
-            np.stack([np.bincount(flat, weights=slope[:, f], minlength=m) for f in range(FACTORS)], axis=1) + DECAY * factors / m,
-        ]
-        for p, g, a, b in zip(params, grads, first, second):
-            a += 0.1 * (g - a)
-            b += 0.001 * (g * g - b)
-            p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return Machine(terms, float(base[0]), weights, factors)
+    def score(self, terms: np.ndarray) -> float:
+        z = self.base
+        if len(terms):
+            v = self.factors[terms].astype(np.float64)
+            z += float(self.weights[terms].sum(dtype=np.float64)) + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum()) / len(terms)
+        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+
+
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
+    """The machine learned from the buckets of texts and their labels, 0 or 1.  Deterministic."""
+    r = np.random.default_rng(7)
+    n, rate = len(rows), min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if len(rows) else 1e-3
+    base = float(np.log(rate / (1 - rate)))
+    flat = np.concatenate([*rows, np.zeros(0, "<i4")]).astype(np.int64)
+    sizes = np.array([len(x) for x in rows], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    weights, pull, seen = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    learnable = np.bincount(flat, minlength=BUCKETS) >= SUPPORT
+    factors = np.zeros((BUCKETS, FACTORS), np.float32)
+    moved = np.zeros(BUCKETS, np.float32)
+    passes = max(PASSES, -(-STEPS * BATCH // n)) if n else 0
+    for turn in range(passes):
+        if turn == passes // 2:
+            factors = (r.normal(0, SPREAD, (BUCKETS, FACTORS)) * learnable[:, None]).astype(np.float32)
+        order = r.permutation(n)
+        for at in range(0, n, BATCH):
+            batch = order[at : at + BATCH]
+            batch = batch[sizes[batch] > 0]
+            if not len(batch):
+                continue
+            own = np.repeat(np.arange(len(batch)), sizes[batch])
+            first = np.concatenate([[0], np.cumsum(sizes[batch])[:-1]])
+            terms = flat[np.arange(len(own)) - first[own] + starts[batch][own]]
+            unit = (1 / np.sqrt(sizes[batch])).astype(np.float32)[own]
+            v = factors[terms] * unit[:, None]
+            sums = np.add.reduceat(v, first, axis=0)
+            z = base + np.add.reduceat(weights[terms] - 0.5 * (v**2).sum(axis=1), first) + 0.5 * (sums**2).sum(axis=1)
+            error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[batch]).astype(np.float32)
+            used, place = np.unique(terms, return_inverse=True)
+            slope = np.bincount(place, weights=error[own], minlength=len(used)).astype(np.float32)
+            more = seen[used] + slope**2
+            pull[used] += slope - (np.sqrt(more) - np.sqrt(seen[used])) / RATE * weights[used]
+            seen[used] = more
+            beyond = np.sign(pull[used]) * np.maximum(np.abs(pull[used]) - ABSOLUTE * passes, 0)
+            weights[used] = -beyond / ((1 + np.sqrt(more)) / RATE + SQUARE)
+            if turn >= passes // 2:
+                by_term = np.argsort(place, kind="stable")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(used)))[:-1]])
+                slopes = np.add.reduceat(((sums[own] - v) * (error[own] * unit)[:, None])[by_term], cuts, axis=0) * learnable[used][:, None]
+                moved[used] += (slopes**2).mean(axis=1)
+                factors[used] = (factors[used] - FACTOR_RATE * slopes / np.sqrt(1 + moved[used])[:, None]) * (1 - DECAY)
+            base -= 0.01 * float(error.mean())
+    return Machine(base, weights, factors)
 
 
 def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Machine | None:
     """The machine learned from labels (key, label 0 or 1); None without labelled rows.
 
     Only `sample` labelled rows, the first by a hash of their key, are fitted
-    on, so the sample that is broadcast has 16 bytes a row at most.
+    on, so what is broadcast (16 bytes a row) and the buckets that are gathered for
+    training (four bytes a term) are bounded.
     """
     text_batches(docs.sparkSession)
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     marked = scratch.save(marked.orderBy(F.xxhash64("_key"), "_key").limit(sample))
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(marked), F.col("_doc") == F.col("_key"))
-    rows = scratch.save(rows.select("_label", "_text"))
-
-    def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            marks = batch.column(0).to_numpy(zero_copy_only=False)
-            found: list[list[int]] = [[], []]
-            for mark, t in zip(marks, batch.column(1)):
-                found[int(mark > 0)].extend(text_terms(t.as_py()))
-            for mark, hashes in enumerate(found):
-                if hashes:
-                    terms, n = np.unique(np.array(hashes, dtype="i8"), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.full(len(terms), mark, dtype="i4")), pa.array(n.astype("i8"))], ["term", "mark", "n"])
-
-    sizes = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    if not toxic + clean:
-        return None
-    by_term = rows.mapInArrow(counts, "term long, mark int, n long").groupBy("term").agg(F.sum(F.when(F.col("mark") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("mark") == 0, F.col("n")).otherwise(0)).alias("c"))
-    odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
-    gain = F.when(odds > 0, F.col("t") * odds).otherwise(-F.col("c") * odds * toxic / max(clean, 1))
-    chosen = by_term.where((F.greatest("t", "c") >= SUPPORT) & (F.abs(odds) > 0.7)).orderBy(F.desc(gain), "term").limit(TERMS).select("term")
-    terms = np.sort(np.array([r[0] for r in chosen.collect()], dtype="i8"))
 
-    def positions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = term_finder()
         for batch in it:
-            out = []
-            for t in batch.column(1):
-                own = np.array(sorted(text_terms(t.as_py())), dtype="i8")
-                out.append(np.flatnonzero(np.isin(terms, own)).astype("i4").tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["label", "at"])
+            packed = [terms(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["label", "terms"])
 
-    sampled = rows.mapInArrow(positions, "label int, at array<int>").toPandas()
-    order = sorted(range(len(sampled)), key=lambda i: (sampled["label"][i], tuple(sampled["at"][i])))
-    machine = fit_machine([np.asarray(sampled["at"][i], dtype=np.int64) for i in order], (sampled["label"].to_numpy()[order] > 0).astype(float), terms)
-    scratch.drop(marked, rows)
-    return machine
+    found_rows = scratch.save(rows.select("_label", "_text").mapInArrow(found, "label int, terms binary"))
+    sampled = found_rows.toPandas()
+    scratch.drop(marked, found_rows)
+    if sampled.empty:
+        return None
+    sampled = sampled.sort_values(["label", "terms"], kind="stable")
+    return fit_machine([np.frombuffer(t, "<i4") for t in sampled["terms"]], (sampled["label"].to_numpy() > 0).astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", out: str = "score") -> DataFrame:
@@ -174,9 +170,9 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text", out: str
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = machine.scorer()
+        terms = term_finder()
         for batch in texts:
-            yield pd.Series([one(t) for t in batch], dtype="float64")
+            yield pd.Series([machine.score(terms(t)) for t in batch], dtype="float64")
 
     return docs.withColumn(out, scored(F.col(text)))
 
