@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +86,21 @@ class Recent:
             self.young, self.old = {}, self.young
 
 
+#: Rows of a few numbers each that one task takes rather than a shuffle; their count is known before.
+ONE_TASK = 1 << 17
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in one partition, which spares the shuffles that follow, if its counted rows are at most ONE_TASK."""
+    return df.coalesce(1) if rows <= ONE_TASK else df
+
+
+def small_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
+    """A DataFrame of rows that the driver holds; it reaches the executors as Arrow data, without a Python worker."""
+    values = list(zip(*rows)) if rows else [()] * len(columns)
+    return spark.createDataFrame(pa.table([pa.array(v, t) for v, t in zip(values, columns.values())], names=list(columns)))
+
+
 def small_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -132,8 +148,9 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     current = scratch.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = _mark(current)
+    mark, last = _mark(current), current
     while mark[0]:
+        current = few(current, mark[0])
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("u"), F.least("a", "low").alias("low"))
         large = both.join(low, both.a == low.u).where("b > u").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -142,8 +159,8 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         small = small.select("b", "low").union(small.select("u", "low")).toDF("a", "b").where("a <> b").distinct()
         following = scratch.save(small)
         new_mark = _mark(following)
-        scratch.drop(current)
-        current = following
+        scratch.drop(last)
+        current = last = following
         if new_mark == mark:
             break
         mark = new_mark

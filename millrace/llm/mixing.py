@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked, unused_name
+from .common import Scratch, ranked, small_table, unused_name
 
 BLOCK = 8
 #: Slots of a span, or four for each source if that is more.
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_
         return docs.limit(0).select("*", *[F.lit(0).cast("long").alias(n) for n in added])
     shares = whole([weights[s] for s in names])
     slots = max(-(--(-sizes[s] // block) * sum(shares) // w) for s, w in zip(names, shares))
-    sources = spark.createDataFrame([(s, i, sizes[s]) for i, s in enumerate(names)], "name_ string, source long, size long")
+    sources = small_table(spark, {"name_": pa.string(), "source": pa.int64(), "size": pa.int64()}, [(s, i, sizes[s]) for i, s in enumerate(names)])
     ranks = ranked(scratch, narrow, ["name"], [f"o{i}" for i in range(len(order))], "rank").select("row", "name", "rank")
     ranks = ranks.join(sources, F.col("name").eqNullSafe(F.col("name_"))).select("row", F.col("source").alias("of"), "rank")
     turns = scratch.save(schedule(spark, shares, slots, span))

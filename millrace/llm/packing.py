@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, small_parts, text_batches
+from .common import ONE_TASK, Scratch, few, small_parts, small_table, text_batches
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -131,9 +131,12 @@ def _swept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(out, ["part", "piece", "id", "size", "mate", "mate_size", "rank"])
 
 
-def _superstep(scratch: Scratch, gaps: DataFrame, pieces: DataFrame, shortest: int, longest: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed, waiting, gaps): pieces (id, size) that got a gap (sequence_id), those that got none, and the gaps (sequence_id, free) left.
-    A gap takes part with at most `most` slots."""
+_PLAN = dict.fromkeys(("p", "from", "to", "source", "top"), pa.int32())
+
+
+def _superstep(scratch: Scratch, gaps: DataFrame, pieces: DataFrame, shortest: int, longest: int, most: int, rows: int, range_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, waiting, gaps): pieces (id, size) that got a gap (sequence_id), those that got none, and the gaps (sequence_id, free) left, yet to be grouped.
+    A gap takes part with at most `most` slots; rows: how many slots and pieces there are at most."""
     spark = gaps.sparkSession
     slots = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("free") / longest).cast("int")))
     each = F.floor(F.col("free") / F.col("slots")).cast("int")
@@ -141,33 +144,33 @@ def _superstep(scratch: Scratch, gaps: DataFrame, pieces: DataFrame, shortest: i
     size = F.when(F.col("slot") < F.col("slots"), each).otherwise(F.col("free") - each * (F.col("slots") - 1))
     both = split.select(size.alias("size"), F.lit(False).alias("piece"), F.col("sequence_id").alias("id")).union(pieces.select("size", F.lit(True), "id"))
     order = [F.col("size").desc(), F.col("piece"), F.col("id")]
-    swept = scratch.save(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, _SWEPT))
-    left: dict[int, tuple[int, int]] = {}
-    for r in swept.where("mate IS NULL").groupBy("part").agg(F.count_if("piece").alias("p"), F.count_if(~F.col("piece")).alias("g")).collect():  # a row a range
-        left[r["part"]] = (r["p"], r["g"])
-    plan = F.broadcast(spark.createDataFrame(carried(left), "p int, from int, to int, source int, top int"))
-    alone = swept.where("mate IS NULL")
-    wanting = alone.where("piece").join(plan, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")), "left")
-    wanting = wanting.select("id", "size", "source", (F.col("top") - (F.col("rank") - F.col("from"))).alias("at"))
-    free = alone.where("NOT piece").select(F.col("id").alias("mate"), F.col("size").alias("mate_size"), "part", "rank")
-    late = scratch.save(wanting.join(free, (F.col("source") == F.col("part")) & (F.col("at") == F.col("rank")), "full").select("id", "size", "mate", "mate_size"))
-    met = swept.where("mate IS NOT NULL").select("id", "size", "mate", "mate_size").union(late)
+    both = both.coalesce(1) if rows <= range_rows else both.repartitionByRange(*order)
+    swept = scratch.save(both.sortWithinPartitions(*order).mapInArrow(_swept, _SWEPT))
+    met, alone = swept.where("mate IS NOT NULL").select("id", "size", "mate", "mate_size"), swept.where("mate IS NULL")
+    if rows <= range_rows:
+        late = alone.select(F.when(F.col("piece"), F.col("id")).alias("id"), F.when(F.col("piece"), F.col("size")).alias("size"), F.when(~F.col("piece"), F.col("id")).alias("mate"), F.when(~F.col("piece"), F.col("size")).alias("mate_size"))
+    else:
+        counts = alone.groupBy("part").agg(F.count_if("piece").alias("p"), F.count_if(~F.col("piece")).alias("g")).collect()  # a row a range
+        plan = F.broadcast(small_table(spark, _PLAN, carried({r["part"]: (r["p"], r["g"]) for r in counts})))
+        wanting = alone.where("piece").join(plan, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")), "left")
+        wanting = wanting.select("id", "size", "source", (F.col("top") - (F.col("rank") - F.col("from"))).alias("at"))
+        free = alone.where("NOT piece").select(F.col("id").alias("mate"), F.col("size").alias("mate_size"), "part", "rank")
+        late = scratch.save(wanting.join(free, (F.col("source") == F.col("part")) & (F.col("at") == F.col("rank")), "full").select("id", "size", "mate", "mate_size"))
+    met = met.union(late)
     placed = met.where("id IS NOT NULL AND mate IS NOT NULL").select("id", "size", F.col("mate").alias("sequence_id"))
     waiting = late.where("mate IS NULL").select("id", "size")
     rests = met.where("mate IS NOT NULL").select(F.col("mate").alias("sequence_id"), (F.col("mate_size") - F.coalesce("size", F.lit(0))).alias("free"))
-    rests = rests.union(gaps.where(F.col("free") < shortest).select("sequence_id", "free"))
-    after = rests.groupBy("sequence_id").agg(F.sum("free").cast("int").alias("free")).where("free > 0")
-    return placed, waiting, scratch.save(after)
+    return placed, waiting, rests.union(gaps.where(F.col("free") < shortest).select("sequence_id", "free"))
 
 
 def _histogram(sizes: DataFrame) -> Counter:
     return Counter({r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()})  # capacity rows at most
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = (), steps: list | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = (), range_rows: int = ONE_TASK, steps: list | None = None) -> DataFrame:
     """pieces with sequence_id and offset: each piece (1 <= length <= capacity) in one sequence, gapless from offset 0.
 
-    A list given as `steps` gets (pieces, gaps, pieces placed) of each superstep.
+    A superstep of at most `range_rows` rows is one range.  A list given as `steps` gets (pieces, gaps, pieces placed) of each superstep.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
@@ -205,12 +208,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
             opened, open_gaps = opened + new, open_gaps + new
         now = narrow.where((F.col("size") > low) & (F.col("size") <= high))
         now = now.union(late_rows) if late_rows is not None else now
-        done, late_rows, gaps = _superstep(scratch, gaps, now, shortest, longest, -(-4 * count // open_gaps))
+        most = -(-4 * count // open_gaps)
+        done, late_rows, rests = _superstep(scratch, gaps, now, shortest, longest, most, count + most * open_gaps, range_rows)
         placed.append(done)
+        every = sum(free.values()) + opened
+        gaps = scratch.save(few(rests, every * most).groupBy("sequence_id").agg(F.sum("free").cast("int").alias("free")).where("free > 0"))
         ahead, high = Counter({n: c for n, c in ahead.items() if n <= low}), low
         state = late_rows.select(F.lit(True).alias("piece"), "size").union(gaps.select(F.lit(False), F.col("free")))
         late, free = Counter(), Counter()
-        for r in state.groupBy("piece", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # twice the capacity at most
+        for r in few(state, count + every).groupBy("piece", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # twice the capacity at most
             (late if r["piece"] else free)[r["size"]] = r["n"]
         still = sum(late.values())
         if steps is not None:
