@@ -31,8 +31,6 @@ from .common import Scratch, text_batches, unused_name
 #: At most so many labelled rows are fitted on; chosen by a hash of their id.
 SAMPLE = 20_000
 THRESHOLD = 0.5
-#: Priors of at most so many paths are broadcast, counted first; beyond that Spark chooses the join.
-FEW_PATHS = 20_000
 #: Bounds of the estimated prior strengths, in documents.
 WEAKEST, STRONGEST = 2.0, 1000.0
 
@@ -115,40 +113,48 @@ def _strength(groups: DataFrame, mean: str) -> float:
     return min(STRONGEST, max(WEAKEST, row["binomial"] / row["n"] / between - 1 if between > 0 else STRONGEST))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text", key: str = "doc_id", label: str = "quality", out: str = "quality_score", sample: int = SAMPLE) -> DataFrame:
-    """docs with `out`, the posterior probability that the document is good.
+def posteriors(rows: DataFrame, evidence: str, host: str, path: str, prior: str, out: str, scratch: Scratch) -> DataFrame:
+    """rows, with evidence, host and path in columns of these names, and added `prior`, the mean of its path without the row's own share,
+    and `out`, the posterior probability.
 
     Only three numbers a path are grouped; the statistics are joined back by
-    host and path.  They are broadcast if the counted paths are at most
-    FEW_PATHS, so that no text is shuffled; else Spark chooses the join and
-    splits where a host is hot.
+    host and path, how is left to Spark.
     """
-    text_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "quality")
-    model = fit_evidence(scratch, docs, labels, text, key, label, sample)
-    names = [unused_name(docs, x) for x in ("_evidence", "_host", "_path", "_prior", out)]
-    evidence, h, p, prior, out = names
-    judged = docs.withColumn(h, host.cast("string")).withColumn(p, path.cast("string")).withColumn(evidence, evidence_column(F.col(text), model))
     chance = 1 / (1 + F.exp(-F.col(evidence)))
-    paths = judged.select(h, p, chance.alias("c")).groupBy(h, p).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    paths = scratch.save(paths)
-    hosts = paths.groupBy(h).agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
+    paths = rows.select(F.col(host).alias("h"), F.col(path).alias("p"), chance.alias("c")).groupBy("h", "p")
+    paths = scratch.save(paths.agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")))
+    hosts = paths.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
     total = hosts.agg(F.sum("s"), F.sum("n")).first()
     mean = total[0] / total[1] if total[1] else 0.5
     k_host = _strength(hosts.withColumn("m", F.lit(mean)), "m")
-    hosts = hosts.select(F.col(h).alias("_h"), ((k_host * mean + F.col("s")) / (k_host + F.col("n"))).alias("m"))
-    joined = paths.join(hosts, F.col(h).eqNullSafe(F.col("_h")))
+    hosts = hosts.select(F.col("h").alias("g"), ((k_host * mean + F.col("s")) / (k_host + F.col("n"))).alias("m"))
+    joined = paths.join(hosts, F.col("h").eqNullSafe(F.col("g")))
     k_path = _strength(joined, "m")
-    priors = joined.select(F.col(h).alias("_h"), F.col(p).alias("_p"), (k_path * F.col("m") + F.col("s")).alias("_s"), (k_path + F.col("n")).alias("_n"))
-    if paths.count() <= FEW_PATHS:
-        priors = F.broadcast(priors)
-    rest = (F.col("_s") - chance) / (F.col("_n") - 1)
-    found = judged.join(priors, F.col(h).eqNullSafe(F.col("_h")) & F.col(p).eqNullSafe(F.col("_p")))
-    found = found.withColumn(prior, rest).withColumn(out, 1 / (1 + F.exp(-(F.col(evidence) + _logit(F.col(prior))))))
-    return found.select(*docs.columns, F.col(prior).alias(unused_name(docs, "site_prior")), out)
+    priors = joined.select("h", "p", (k_path * F.col("m") + F.col("s")).alias("s"), (k_path + F.col("n")).alias("n"))
+    every = F.struct(*rows.columns)  # the rows' own columns may have any names
+    found = rows.select(every.alias("row"), F.col(host).alias("own_h"), F.col(path).alias("own_p"), F.col(evidence).alias("e")).join(priors, F.col("own_h").eqNullSafe(F.col("h")) & F.col("own_p").eqNullSafe(F.col("p")))
+    rest = (F.col("s") - 1 / (1 + F.exp(-F.col("e")))) / (F.col("n") - 1)
+    found = found.withColumn("rest", rest)
+    return found.select("row.*", F.col("rest").alias(prior), (1 / (1 + F.exp(-(F.col("e") + _logit(F.col("rest")))))).alias(out))
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text", key: str = "doc_id", label: str = "quality", out: str = "quality_score", sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
+    """docs with `site_prior` and `out`, the posterior probability that the document is good; without the text if keep_text is false.
+
+    Texts go through Python once; what is grouped and joined afterwards is read from the rows written with their evidence.
+    """
+    text_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = fit_evidence(scratch, docs, labels, text, key, label, sample)
+    e, h, p = (unused_name(docs, x) for x in ("_evidence", "_host", "_path"))
+    kept = [c for c in docs.columns if keep_text or c != text]
+    rows = docs.select(*[F.col(c) for c in kept], host.cast("string").alias(h), path.cast("string").alias(p), evidence_column(F.col(text), model).alias(e))
+    prior, out = unused_name(docs, "site_prior"), unused_name(docs, out)
+    return posteriors(scratch.save(rows), e, h, p, prior, out, scratch).select(*kept, prior, out)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    judged = judge(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"), keep_text=False)
     return judged.select("doc_id", "source", "lang", "site_prior", "quality_score", (F.col("quality_score") >= THRESHOLD).alias("keep"))
