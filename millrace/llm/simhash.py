@@ -317,10 +317,9 @@ def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, sim
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.array([], dtype="i8")])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], ["r", "n", "own"])
 
-    prefixes = scratch.save(texts.select(F.col("r").alias("_r"), "t").mapInArrow(firsts, "_r long, n int, own array<long>"))
+    prefixes = texts.select(F.col("r").alias("_r"), "t").mapInArrow(firsts, "_r long, n int, own array<long>")
     posted = prefixes.join(parts, F.col("_r") == F.col("r")).select(F.posexplode("own").alias("i", "s"), "r", "c", "n")
     posted = scratch.save(posted)
-    scratch.drop(prefixes)
     groups = posted.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
     groups = groups.select(F.col("s").alias("shared"), F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
     several = scratch.save(posted.join(groups, F.col("s") == F.col("shared")).select("s", "r", "c", "n", "i", "blocks"))
@@ -350,7 +349,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    row, bits = unused_name(docs, "_row"), unused_name(docs, "_prints")
+    row, bits, removed = (unused_name(docs, x) for x in ("_row", "_prints", "_gone"))
 
     def printed(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.Series]:
         for batch in texts:
@@ -389,8 +388,8 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     components = connected_components(scratch, rest.union(components.toDF("a", "b")))
     grouped = classes.join(components, F.col("r") == F.col("node"), "left").withColumn("root", F.coalesce("component", "r"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
-    gone = scratch.save(wide.select(F.col(row).alias("_gone")).join(kept, F.col("_gone") == F.col("_kept"), "left_anti"))
-    return wide.join(gone, F.col(row) == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = scratch.save(wide.select(F.col(row).alias(removed)).join(kept, F.col(removed) == F.col("_kept"), "left_anti"))
+    return wide.join(gone, F.col(row) == F.col(removed), "left_anti").select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
