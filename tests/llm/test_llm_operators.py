@@ -62,8 +62,56 @@ def test_quality_shrinks_sparse_sites_and_separates(spark):
     out = {x.doc_id: x for x in quality.judge(table, labels, site, site).collect()}
     assert all((out[i].quality_score >= 0.5) == (i < 120) for i in range(180))
     assert abs(out[1].site_prior - 120 / 180) < 0.15
-    brute = {i: quality.statistics(t.encode()) for i, t in enumerate(good + bad)}
-    assert all(len(s) == quality.WIDTH and all(map(math.isfinite, s)) for s in brute.values())
+    found = [quality.statistics(t.encode()) for t in good + bad]
+    assert all(len(s) == quality.WIDTH and all(map(math.isfinite, s)) for s in found)
+
+
+def slow_posteriors(rows):
+    """(prior, posterior) of (host, path, evidence) rows, one formula after another."""
+    chance = [1 / (1 + math.exp(-e)) for _, _, e in rows]
+    mean = sum(chance) / len(rows)
+
+    def by(at):
+        out = {}
+        for r, c in zip(rows, chance):
+            out.setdefault(at(r), []).append(c)
+        return out
+
+    def strength(groups, prior):
+        n = sum(map(len, groups.values()))
+        if n <= len(groups):
+            return quality.STRONGEST
+        averages = {g: sum(c) / len(c) for g, c in groups.items()}
+        within = max(0.0, sum((x - averages[g]) ** 2 for g, c in groups.items() for x in c) / (n - len(groups)))
+        spread = sum(len(c) * (averages[g] - prior(g)) ** 2 for g, c in groups.items())
+        between = max(0.0, (spread - len(groups) * within) / n)
+        binomial = sum(len(c) * prior(g) * (1 - prior(g)) for g, c in groups.items()) / n
+        return min(quality.STRONGEST, max(quality.WEAKEST, binomial / between - 1 if between > 0 else quality.STRONGEST))
+
+    hosts, paths = by(lambda r: r[0]), by(lambda r: r[:2])
+    k = strength(hosts, lambda g: mean)
+    host_mean = {g: (k * mean + sum(c)) / (k + len(c)) for g, c in hosts.items()}
+    k = strength(paths, lambda g: host_mean[g[0]])
+    out = []
+    for (host, path, e), c in zip(rows, chance):
+        own = paths[host, path]
+        prior = (k * host_mean[host] + sum(own) - c) / (k + len(own) - 1)
+        p = min(max(prior, 1e-6), 1 - 1e-6)
+        out.append((prior, 1 / (1 + math.exp(-(e + math.log(p / (1 - p)))))))
+    return out
+
+
+def test_posteriors_against_one_formula_after_another(spark):
+    r = random.Random(9)
+    rows = []
+    for host in ["a", "b", "c", None, "rare"]:
+        tilt = r.uniform(-3, 3)
+        for path in ["x", None, "y"]:
+            rows += [(host, path, r.gauss(tilt, 2)) for _ in range(1 if host == "rare" else r.randint(1, 60))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, host string, path string, e double").repartition(4)
+    out = {x.i: x for x in quality.posteriors(df, "e", "host", "path", "prior", "posterior", Scratch(spark, "t")).collect()}
+    for i, (prior, posterior) in enumerate(slow_posteriors(rows)):
+        assert abs(out[i].prior - prior) < 1e-9 and abs(out[i].posterior - posterior) < 1e-9
 
 
 def test_quality_of_odd_rows(spark):
@@ -197,6 +245,21 @@ def test_confirmed_near_duplicates(spark):
     assert simhash.without_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_clashing_names(spark):
+    """Columns with the names that operators use inside stay, and nothing is ambiguous."""
+    names = ["_row", "_prints", "_gone", "_kept", "_h", "_p", "_s", "_n", "_evidence", "_host", "_path", "row", "rank", "h", "p", "e", "rest", "id", "size", "slot", "doc", "score", "_score"]
+    table = docs(spark, ["a b c d e f", None, "", "a b c d e f", "x y"]).drop("score", "_row").select("*", *[F.lit(n).alias(n) for n in names])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (
+        simhash.without_near_duplicates(table),
+        quality.judge(table, none, F.col("source"), F.col("lang")),
+        toxicity.judge(table, none),
+        mixing.mix(table),
+    ):
+        rows = out.collect()
+        assert out.columns[: len(table.columns)] == table.columns and len(rows) >= 3 and all(r["_gone"] == "_gone" and r["h"] == "h" for r in rows)
+
+
 def test_equal_prints_of_different_texts_both_stay(spark):
     r = random.Random(5)
     line = " ".join(f"menu{i}" for i in range(9))
@@ -338,14 +401,14 @@ def test_what_ranges_leave_is_matched_with_earlier_ranges():
     assert got == [(1, 0, 1, 0, 2), (2, 0, 2, 1, 1), (2, 2, 4, 0, 1), (4, 0, 1, 2, 0)]
 
 
-@pytest.mark.parametrize("kind", ["mixed", "small", "large", "equal"])
-def test_packing_is_as_good_as_best_fit_decreasing(spark, kind):
+@pytest.mark.parametrize("kind, range_rows", [("mixed", 50), ("mixed", 1 << 17), ("small", 90), ("large", 50), ("equal", 50)])
+def test_packing_is_as_good_as_best_fit_decreasing(spark, kind, range_rows):
     r = random.Random(kind)
     draw = {"mixed": lambda: r.choice((r.randint(1, 100), r.randint(1, 40), 50, 33)), "small": lambda: r.randint(1, 12), "large": lambda: r.randint(30, 100), "equal": lambda: 26}[kind]
     lengths = [draw() for _ in range(600)]
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "id long, length int, offset string").repartition(5)
     steps: list = []
-    out = packing.pack(df, 100, order=("id",), steps=steps).toPandas().sort_values(["sequence_id", "offset"])
+    out = packing.pack(df, 100, order=("id",), range_rows=range_rows, steps=steps).toPandas().sort_values(["sequence_id", "offset"])
     assert sorted(out["id"]) == list(range(600)) and dict(zip(out["id"], out["length"])) == dict(enumerate(lengths))
     before = out.groupby("sequence_id")["length"].cumsum() - out["length"]
     assert (before == out["offset"]).all() and out.groupby("sequence_id")["length"].sum().max() <= 100
