@@ -46,6 +46,7 @@ SPREAD, FACTOR_RATE, DECAY, SUPPORT = 0.1, 3.0, 0.001, 8
 THRESHOLD = 0.7
 #: Words in each of the two generations that a Python worker remembers.
 _REMEMBER = 100_000
+_PIECE = 1 << 20
 
 
 def word_terms(chunk: str) -> bytes:
@@ -89,15 +90,19 @@ class Machine:
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """The machine learned from the buckets of texts and their labels, 0 or 1.  Deterministic."""
+    """The machine learned from the buckets of texts and their labels, 0 or 1.  Deterministic.  Empties `rows`."""
     r = np.random.default_rng(7)
     n, rate = len(rows), min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if len(rows) else 1e-3
     base = float(np.log(rate / (1 - rate)))
-    flat = np.concatenate([*rows, np.zeros(0, "<i4")]).astype(np.int64)
+    flat = np.concatenate([*rows, np.zeros(0, "<i4")])
     sizes = np.array([len(x) for x in rows], dtype=np.int64)
+    rows.clear()
     starts = np.concatenate([[0], np.cumsum(sizes)])
     weights, pull, seen = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-    learnable = np.bincount(flat, minlength=BUCKETS) >= SUPPORT
+    count = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(flat), _PIECE):
+        count += np.bincount(flat[at : at + _PIECE], minlength=BUCKETS)
+    learnable = count >= SUPPORT
     factors = np.zeros((BUCKETS, FACTORS), np.float32)
     moved = np.zeros(BUCKETS, np.float32)
     passes = max(PASSES, -(-STEPS * BATCH // n)) if n else 0
@@ -154,12 +159,14 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["label", "terms"])
 
     found_rows = scratch.save(rows.select("_label", "_text").mapInArrow(found, "label int, terms binary"))
-    sampled = found_rows.toPandas()
+    sampled = sorted((r["label"], bytes(r["terms"])) for r in found_rows.toLocalIterator())  # a partition at a time
     scratch.drop(marked, found_rows)
-    if sampled.empty:
+    if not sampled:
         return None
-    sampled = sampled.sort_values(["label", "terms"], kind="stable")
-    return fit_machine([np.frombuffer(t, "<i4") for t in sampled["terms"]], (sampled["label"].to_numpy() > 0).astype(np.float64))
+    marks = np.array([mark > 0 for mark, _ in sampled], dtype=np.float64)
+    found = [np.frombuffer(t, "<i4") for _, t in sampled]
+    del sampled
+    return fit_machine(found, marks)
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", out: str = "score") -> DataFrame:
