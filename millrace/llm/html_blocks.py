@@ -16,6 +16,8 @@ BLOCK = frozenset(
 UNSHOWN = frozenset("script style template head title noscript iframe object svg math canvas".split())
 CLOSES_P = BLOCK - frozenset("body html head button option optgroup".split())
 OWN_CLOSE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
+FOREIGN = frozenset(("svg", "math"))
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template noframes".split())
 NAMES = re.compile(r"[a-z]+")
 
 
@@ -45,6 +47,8 @@ class _Reader(HTMLParser):
         self.held, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.close_to("head", UNSHOWN - {"head"})  # its end tag may be left out
         if tag in BLOCK:
             self.flush()
             if tag in CLOSES_P:
@@ -62,7 +66,10 @@ class _Reader(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:
+            return  # only here does the slash close an element
+        if not any(name in FOREIGN for name, _ in self.open):
+            self.handle_starttag(tag, attrs)
 
     def close_to(self, tag: str, walls: frozenset[str]) -> None:
         """Closes the nearest open `tag` and what is in it, if no wall lies between."""
@@ -87,6 +94,8 @@ class _Reader(HTMLParser):
         self.close_to(tag, walls)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.pop(len(self.open) - 1)
         if self.unshown:
             return
         if not self.held or not any(x.strip() for x in self.held):
