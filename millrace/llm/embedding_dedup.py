@@ -5,11 +5,14 @@ over range-sorted random projections and is refined: a node's neighbours and
 some of the nodes it is neighbour of are brought together and compared
 (neighbours of neighbours), each node keeps its best K, and rounds go on until
 few lists change.  A list that is saturated, all of it above the threshold, is
-enlarged to WIDE entries; what a dense group has beyond that is counted exactly
-over its component in blocks, without emitting pairs.  A bounded sample of nodes is
+enlarged to WIDE entries.  Where even those are all links, the node is in a dense
+group, and what the group has beyond the lists is found exactly: by triangle
+bounds on angles between the pivots of dense components, which tell the few pairs
+of components that can have links between them, and in blocks within a
+component, without emitting pairs.  A bounded sample of nodes is
 compared with everything of its label to audit recall; while it misses the
-target, the descent goes on with longer lists and further projections.  Only
-links that the exact cosine confirms are kept.
+target, the descent goes on with longer lists and further projections, and a
+recall that still misses it is an error.  Only links that the exact cosine confirms are kept.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, rows with a null label and rows without an id link with nothing
@@ -201,6 +204,56 @@ def _counts(scratch: Scratch, nodes: DataFrame, components: DataFrame) -> DataFr
     return meets.groupBy("component", "lo", "hi").applyInPandas(counted, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _dense_links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Links (a, b) between components that hold a node whose list is full of links: one at least for each pair of blocks of
+    such components that are linked.  Members of two components can only be linked if the angle of their pivots is at most
+    the sum of the components' widest angles and the threshold's."""
+    full = lists.where(f"s >= {THRESHOLD - MARGIN}").groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WIDE).select("u")
+    dense = components.join(full, F.col("node") == F.col("u")).select(F.col("component").alias("c")).distinct()
+    members = components.join(dense, F.col("component") == F.col("c")).join(nodes.select(F.col("node").alias("n"), "site", "v"), F.col("node") == F.col("n")).select("site", "c", "node", "v")
+    members = ranked(scratch, members, ["c"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    members = scratch.save(members)
+    pivots = members.where("place = 0").select("site", "c", F.col("v").alias("pivot"))
+
+    def widest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            angles = [float(np.arccos(np.clip(_cosines(np.frombuffer(p, "<f8")[None], np.frombuffer(v, "<f8")[None])[0, 0], -1, 1))) for p, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(angles, pa.float64())], ["c", "angle"])
+
+    angles = members.join(pivots.select(F.col("c").alias("of"), "pivot"), F.col("c") == F.col("of")).select("c", "pivot", "v").mapInArrow(widest, "c long, angle double")
+    angles = angles.groupBy(F.col("c").alias("of")).agg(F.max("angle").alias("angle"))
+    pivots = pivots.join(angles, F.col("c") == F.col("of")).select("site", "c", "pivot", "angle")
+    pivots = ranked(scratch, pivots, ["site"], ["c"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    blocks = pivots.groupBy(F.col("site").alias("s")).agg((F.max("block") + 1).alias("blocks"))
+    pivots = pivots.join(blocks, F.col("site") == F.col("s")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pivots = pivots.select("site", "c", "pivot", "angle", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    reach = float(np.arccos(THRESHOLD)) + 1e-6
+
+    def close(group: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
+        one, two = group[group["block"] == lo], group[group["block"] == hi]
+        a, b = (np.frombuffer(b"".join(g["pivot"]), "<f8").reshape(len(g), -1) for g in (one, two))
+        i, j = np.nonzero(np.arccos(np.clip(_cosines(a, b), -1, 1)) <= one["angle"].to_numpy()[:, None] + two["angle"].to_numpy()[None, :] + reach)
+        pairs = pd.DataFrame({"c1": one["c"].to_numpy()[i], "c2": two["c"].to_numpy()[j]})
+        return pairs[pairs["c1"] < pairs["c2"]] if lo == hi else pairs
+
+    pairs = pivots.groupBy("site", "lo", "hi").applyInPandas(close, "c1 long, c2 long")
+    sizes = members.groupBy(F.col("c").alias("of")).agg((F.max("block") + 1).alias("blocks"))
+    one, two = (sizes.select(F.col("of").alias(c), F.col("blocks").alias(n)) for c, n in (("c1", "n1"), ("c2", "n2")))
+    meets = pairs.join(one, "c1").join(two, "c2").withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
+    meets = scratch.save(meets.select("c1", "c2", "b1", "b2"))
+    first = meets.join(members.withColumnRenamed("block", "own"), (F.col("c1") == F.col("c")) & (F.col("b1") == F.col("own"))).select("c1", "c2", "b1", "b2", F.lit(1).alias("side"), "node", "v")
+    second = meets.join(members.withColumnRenamed("block", "own"), (F.col("c2") == F.col("c")) & (F.col("b2") == F.col("own"))).select("c1", "c2", "b1", "b2", F.lit(2).alias("side"), "node", "v")
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = group[group["side"] == 1], group[group["side"] == 2]
+        a, b = (np.frombuffer(b"".join(g["v"]), "<f8").reshape(len(g), -1) for g in (one, two))
+        i, j = np.nonzero(_cosines(a, b) >= THRESHOLD)
+        return pd.DataFrame({"a": one["node"].to_numpy()[i[:1]], "b": two["node"].to_numpy()[j[:1]]})
+
+    return first.unionByName(second).groupBy("c1", "c2", "b1", "b2").applyInPandas(linked, "a long, b long")
+
+
 def _audit(nodes: DataFrame, components: DataFrame, size: int) -> float:
     """Share of the links of `size` sampled nodes, found by comparing them with all, that lie within a component."""
     sample = nodes.orderBy(F.xxhash64("least", "node")).limit(size).select("node", "site", "v").toPandas()  # bounded
@@ -268,10 +321,15 @@ def near_duplicates(vectors: DataFrame, vector: str = "embedding", key: str = "v
         close = lists.where(f"s >= {THRESHOLD - MARGIN}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = _confirmed(nodes, close).toDF("a", "b")
         components = scratch.save(connected_components(scratch, links))
+        across = scratch.save(_dense_links(scratch, nodes, lists, components))
+        if across.limit(1).count():
+            components = scratch.save(connected_components(scratch, across.union(components.toDF("a", "b"))))
         recall = _audit(nodes, components, AUDIT)
         if recall >= RECALL:
             break
         k *= 2
+    else:
+        raise RuntimeError(f"the neighbour graph has a recall of {recall:.3f}, which is less than {RECALL}")
     links = _counts(scratch, nodes, components)
     least = components.join(nodes.select("node", F.col("least").alias("l")), "node").groupBy("component").agg(F.min("l").alias("component_id"))
     stats = nodes.join(components, "node", "left").join(least, "component", "left").join(links, "node", "left")
