@@ -475,6 +475,20 @@ def test_embedding_links_against_brute_force(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()} == brute_links(rows)
 
 
+def test_clumps_whose_lists_are_full_of_their_own_are_linked(spark):
+    """Two clumps of more vectors than a list holds, close inside and linked to one another, beside one that is out of reach."""
+    g = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x)
+    a = unit(g.normal(size=32))
+    aside = unit(g.normal(size=32) - (g.normal(size=32) @ a) * a)
+    aside = unit(aside - (aside @ a) * a)
+    centres = [a, np.cos(0.17) * a + np.sin(0.17) * aside, np.cos(0.6) * a + np.sin(0.6) * aside]
+    rows = [(i, (centres[i % 3] + g.normal(size=32) * 0.002).tolist(), 1) for i in range(240)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()}
+    assert got == brute_links(rows) and len({x[1] for x in got.values()}) == 2
+
+
 def test_embedding_edge_tables(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
@@ -656,6 +670,18 @@ def test_blocks_and_rows(spark):
     assert [b.text for b in html_extract.leaf_blocks("<![x <p>a</p><div>" + "deep <b>" * 3000)][0] in ("a", "<![x")
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<p>one <svg/> two</p>", ["one two"]),
+    ("<article><p>a</p><math/><p>b</p></article>", ["a", "b"]),
+    ("<p>x <svg viewBox='0 0 1 1'><path d='M0'/><text>no</text></svg> y</p>", ["x y"]),
+    ("<html><head><title>t</title><meta charset=utf-8><p>first</p><p>second", ["first", "second"]),
+    ("<head><title>t</title>plain text", ["plain text"]),
+    ("<head><script>var a = '<p>no</p>'</script><style>p {}</style></head><body><div/>text<p/>more", ["text", "more"]),
+])
+def test_nothing_is_hidden_by_elements_that_end(html, want):
+    assert [b.text for b in html_extract.leaf_blocks(html)] == want
+
+
 def test_op9_on_the_pages(spark, duck):
     import html as entities
     import re
