@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDE = "decimal(38,10)"
 # Ranges of whole-number types, and the narrowest type here that holds each.
@@ -176,7 +177,13 @@ def to_xml(column: Column) -> Column:
 
 
 def from_xml(column: Column, schema: str) -> Column:
-    return F.from_xml(column, schema, {"mode": "PERMISSIVE"})
+    """A struct of the schema; null for a text that is no such XML."""
+    fields = T.StructType.fromDDL(schema).fieldNames()
+    broken = "_broken"
+    while broken in fields:
+        broken += "_"
+    parsed = F.from_xml(column, f"{schema}, {broken} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken})
+    return F.when(column.isNotNull() & parsed[broken].isNull(), F.struct(*[parsed[f].alias(f) for f in fields]))
 
 
 def row_version(column: Column) -> Column:

@@ -139,20 +139,40 @@ def aggregate_frames(df: DataFrame, keys: list[str], function: Callable[[pd.Data
     return df.groupBy(*keys).applyInPandas(function, schema)
 
 
-def reduce_groups(df: DataFrame, keys: list[str], order: list[Column] | list[str], where: Column | None = None, runs: list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
+def reduce_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column] | list[str],
+    where: Column | None = None,
+    runs: list[str] | None = None,
+    partition_by: list[str] | None = None,
+    set: dict[str, Column] | None = None,
+    keep_single: bool = False,
+) -> DataFrame:
     """One row for each group: the first by `order` among those that meet `where`; a group without such a row goes.
 
+    `set` alters the row: columns get the values of aggregates over the whole
+    group.  With keep_single a group of one row stays as it is, whatever `where` and `set` say.
     With `runs` a group is a run of adjacent rows in that order.  The winner is
     found by a grouped minimum, so a large group is pre-aggregated."""
     columns = df.columns
     rows = run_ids(df, keys, runs, partition_by) if runs else df
     group = [*keys, "__run", *(partition_by or [])] if runs else keys
-    chosen = rows.where(where) if where is not None else rows
-    if all(isinstance(o, str) for o in order):
-        out = chosen.groupBy(*dict.fromkeys(group)).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__row"))
-        return out.select("__row.*")
+    if where is not None and not (set or keep_single):
+        rows, where = rows.where(where), None
+    chosen = where if where is not None else F.lit(True)
+    if set or keep_single or all(isinstance(o, str) for o in order):
+        require(all(isinstance(o, str) for o in order), "altered rows need an order of column names")
+        single = F.count(F.lit(1)) == 1 if keep_single else F.lit(False)
+        picked = F.min_by(F.struct(*columns), F.when(chosen, F.struct(*order)))
+        first = F.when(single, F.min_by(F.struct(*columns), F.struct(*order))).otherwise(picked) if keep_single else picked
+        made = [value.alias(f"__s{i}") for i, value in enumerate((set or {}).values())]
+        out = rows.groupBy(*dict.fromkeys(group)).agg(first.alias("__row"), single.alias("__single"), *made).where("__row IS NOT NULL")
+        altered = {c: i for i, c in enumerate(set or {})}
+        keep = lambda c: F.col(f"__row.{c}") if c in columns else F.lit(None)
+        return out.select(*[F.when(F.col("__single"), keep(c)).otherwise(F.col(f"__s{altered[c]}")).alias(c) if c in altered else keep(c).alias(c) for c in dict.fromkeys([*columns, *altered])])
     place = F.row_number().over(Window.partitionBy(*dict.fromkeys(group)).orderBy(*order))
-    return chosen.withColumn("__place", place).where("__place = 1").select(*columns)
+    return rows.withColumn("__place", place).where("__place = 1").select(*columns)
 
 
 def remove_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

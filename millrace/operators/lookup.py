@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import RESERVED, fail_when, require, require_columns
+from .ordering import with_previous
 
 KEEP, REMOVE, FAIL = "keep", "remove", "fail"
 
@@ -55,6 +56,11 @@ def _condition(keys: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & b, equal)
 
 
+def _added(keys: dict[str, str], columns) -> list[str]:
+    """Names of the columns that a match adds."""
+    return [*[f"__k{i}" for i in range(len(keys))], *[f"__r_{c}" for c in columns], "__hit"]
+
+
 def _acted(rows: DataFrame, state: Column, action: Action, code: str, keys: dict[str, str]) -> DataFrame:
     for name, value in action.set.items():
         rows = rows.withColumn(name, F.when(state, value).otherwise(F.col(name) if name in rows.columns else F.lit(None)))
@@ -94,15 +100,15 @@ def join(
         names = [f"__k{i}" for i in range(len(keys))]
         held_all = lookup(right, list(keys.values()), match_where)
         place = F.row_number().over(Window.partitionBy(*keys.values()).orderBy(*match_order))
-        limited = held_all.withColumn("__place", place).where(F.col("__place") <= match_limit + (1 if too_many else 0))
-        held = limited.select(*[F.col(k).alias(n) for k, n in zip(keys.values(), names)], *[F.col(s).alias(f"__r_{t}") for t, s in columns.items()], F.lit(True).alias("__hit"), "__place")
+        limited = held_all.withColumn("__place", place).where(F.col("__place") <= match_limit + 1)
+        if too_many:  # a key's rows are told apart before the join, which only a left row without a match leaves without a key
+            limited = limited.withColumn("__more", F.max("__place").over(Window.partitionBy(*keys.values())) > match_limit)
+        limited = limited.where(F.col("__place") <= match_limit)
+        held = limited.select(*[F.col(k).alias(n) for k, n in zip(keys.values(), names)], *[F.col(s).alias(f"__r_{t}") for t, s in columns.items()], F.lit(True).alias("__hit"), *(["__more"] if too_many else []))
     rows = left.join(held, _condition(keys), "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     if match_limit is not None and too_many:
-        more = F.max("__place").over(Window.partitionBy(*[f"__k{i}" for i in range(len(keys))])) > match_limit
-        rows = rows.withColumn("__more", F.coalesce(more, F.lit(False)))
-        rows = _acted(rows, F.col("__more"), too_many, "TooManyMatch", keys)
-        rows = rows.where(F.col("__place").isNull() | (F.col("__place") <= match_limit))
+        rows = _acted(rows, F.coalesce("__more", F.lit(False)), too_many, "TooManyMatch", keys)
     for target in columns:
         value = F.col(f"__r_{target}")
         rows = rows.withColumn(target, F.when(hit, value).otherwise(F.col(target)) if target in left.columns else value)
@@ -110,7 +116,7 @@ def join(
         made = make(lambda c: F.col(f"__r_{c}"))
         rows = rows.withColumn(target, F.when(hit, made).otherwise(F.col(target)) if target in rows.columns else F.when(hit, made))
     rows = _acted(rows, ~hit, no_match, "NoMatch", keys)
-    return rows.drop(*[c for c in rows.columns if c in ("__hit", "__place", "__more") or c.startswith(("__k", "__r_"))])
+    return rows.drop(*_added(keys, columns), "__more")
 
 
 def key_test(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str], match: Action = Action(), no_match: Action = Action(), match_where: Column | None = None, first_by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -133,7 +139,7 @@ def key_test(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str]
     rows = left.join(firsts, _condition(keys), "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     rows = _acted(_acted(rows, hit, match, "Match", keys), ~hit, no_match, "NoMatch", keys)
-    return rows.drop(*[c for c in rows.columns if c == "__hit" or c.startswith(("__k", "__r_"))])
+    return rows.drop(*_added(keys, columns or []))
 
 
 def first_match(right: DataFrame, keys: list[str], order: list[str], columns: list[str], where: Column | None = None) -> DataFrame:
@@ -179,7 +185,7 @@ def compare_rows(
         rows = _acted(rows, F.col("__outcome") == name, action, code, keys)
     if status:
         rows = rows.withColumn(status, F.col("__outcome"))
-    return rows.drop(*[c for c in rows.columns if c in ("__hit", "__outcome") or c.startswith(("__k", "__r_"))])
+    return rows.drop(*_added(keys, right.columns), "__outcome")
 
 
 def expand(
@@ -196,7 +202,9 @@ def expand(
     right's as __r_<column>) the one with the largest `best`.  identity names columns that tell left's rows apart.
 
     Only identity, keys and candidates are grouped, by a maximum with partial
-    aggregation, so a key with very many candidates is not gathered."""
+    aggregation, so a key with very many candidates is not gathered; but each left
+    row meets every candidate of its key.  Where the condition is that a value of
+    the right row is at most one of the left row, and the nearest is best, use as_of."""
     keys = _pairs(keys)
     columns = columns if isinstance(columns, dict) else {c: c for c in columns}
     held = _prepared(right, keys, {c: c for c in right.columns}, None)
@@ -207,30 +215,52 @@ def expand(
     chosen = met.groupBy(*ids).agg(F.max_by(row, best if best is not None else F.lit(1)).alias("__row")).select(*[f"__i{i}" for i in range(len(identity))], "__row.*")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__i{i}")) for i, c in enumerate(identity)])
     rows = left.join(chosen, same, "left")
+    rows = _copied(rows, columns, left.columns)
+    rows = _acted(rows, ~F.coalesce(F.col("__hit"), F.lit(False)), no_match, "NoMatch", keys)
+    return rows.drop(*_added({}, columns), *[f"__i{i}" for i in range(len(identity))])
+
+
+def _copied(rows: DataFrame, columns: dict[str, str], own: list[str]) -> DataFrame:
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     for t in columns:
         value = F.col(f"__r_{t}")
-        rows = rows.withColumn(t, F.when(hit, value).otherwise(F.col(t)) if t in left.columns else value)
-    rows = _acted(rows, ~hit, no_match, "NoMatch", keys)
-    return rows.drop(*[c for c in rows.columns if c == "__hit" or c.startswith(("__i", "__r_"))])
+        rows = rows.withColumn(t, F.when(hit, value).otherwise(F.col(t)) if t in own else value)
+    return rows
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str], at: str, right_at: str, columns: dict[str, str]) -> DataFrame:
-    """left with columns of the last right row of its key at or before `at`.
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str] | dict[str, str],
+    at: str | Column,
+    right_at: str | Column,
+    columns: dict[str, str],
+    ties: list[str] = (),
+    no_match: Action = Action(),
+) -> DataFrame:
+    """left with columns of the right row of its key with the largest `right_at` that is not above `at`; of equal ones
+    that with the largest `ties`, else any.  A left column of a copied column's name keeps its value without a match.
 
-    Both sides are put on one time line and each left row takes the last right
-    row before it: a window by key, no pairs."""
+    Both sides are put on one line, sorted by key and value, and each left row
+    takes the last right row before it.  The line is cut into buckets by sampled
+    bounds, and what a bucket ends with is carried on: no pairs, and no task
+    holds a key that most rows have."""
     keys = _pairs(keys)
-    lefts = left.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(_struct(right, columns)).alias("__right"))
-    held = lookup(right, list(keys.values()))
-    rights = held.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys.values())], F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema).alias("__left"), F.struct(*[F.col(s).alias(t) for t, s in columns.items()]).alias("__right"))
-    line = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__at", "__side", F.xxhash64("__right")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lefts.unionByName(rights).withColumn("__last", F.last("__right", ignorenulls=True).over(line)).where("__side = 1")
-    return rows.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns if c not in columns], *[F.col(f"__last.{t}").alias(t) for t in columns])
-
-
-def _struct(right: DataFrame, columns: dict[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(t, right.schema[s].dataType) for t, s in columns.items()])
+    places = [f"__k{i}" for i in range(len(keys))]
+    value = lambda c: F.col(c) if isinstance(c, str) else c
+    kinds = {f"__t{i}": right.schema[c].dataType for i, c in enumerate(ties)} or {"__t0": T.LongType()}
+    held = lookup(right, list(keys.values())).where(value(right_at).isNotNull())
+    copied = F.struct(*[F.col(s).alias(f"__r_{t}") for t, s in columns.items()], F.lit(True).alias("__hit"))
+    tie = [F.col(c).alias(t) for c, t in zip(ties, kinds)] if ties else [F.xxhash64(copied).alias("__t0")]
+    rights = held.select(*[F.col(k).alias(p) for k, p in zip(keys.values(), places)], value(right_at).alias("__at"), F.lit(0).alias("__side"), *tie, F.lit(None).cast(left.schema).alias("__left"), copied.alias("__right"))
+    lefts = left.select(*[F.col(k).alias(p) for k, p in zip(keys, places)], value(at).alias("__at"), F.lit(1).alias("__side"), *[F.lit(None).cast(kind).alias(t) for t, kind in kinds.items()], F.struct(*left.columns).alias("__left"), F.lit(None).cast(rights.schema["__right"].dataType).alias("__right"))
+    last = F.when(F.col("__side") == 0, F.struct(*places, "__right"))
+    rows = with_previous(lefts.unionByName(rights), {"__last": last}, [*places, "__at", "__side", *kinds], skip_nulls=True).where("__side = 1")
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"__last.{p}")) for p in places]) & F.col("__at").isNotNull()
+    rows = rows.select("__left.*", F.when(same, F.col("__last.__right")).alias("__right")).select(*left.columns, "__right.*")
+    rows = _copied(rows, columns, left.columns)
+    rows = _acted(rows, ~F.coalesce(F.col("__hit"), F.lit(False)), no_match, "NoMatch", keys)
+    return rows.drop(*_added({}, columns))
 
 
 def count_by_key(right: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import StepFailed
 
@@ -47,6 +48,10 @@ class Flow:
     def set(self, name: str, value: Any) -> Flow:
         return self.run(lambda: value() if callable(value) else value, name)
 
+    def set_from(self, name: str, df: Callable[[], DataFrame], column: str, order: list[str]) -> Flow:
+        """The column's value in the last row by `order`; null without rows."""
+        return self.run(lambda: df().agg(F.max_by(column, F.struct(*order))).first()[0], name)
+
     def increment(self, name: str, by: int = 1) -> Flow:
         return self.run(lambda: self.values.get(name, 0) + by, name)
 

@@ -321,10 +321,16 @@ def compare_rows_changes(spark, sf):
 @query("SELECT o_orderkey, o_custkey, p_partkey FROM (SELECT o_orderkey, o_custkey, p_partkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY p_retailprice DESC NULLS LAST, p_partkey DESC) AS rn FROM (SELECT *, o_orderkey % 50 + 1 AS size FROM orders) LEFT JOIN part ON p_size = size AND p_retailprice * 100 <= o_totalprice) WHERE rn = 1")
 def expand_from_lookup(spark, sf):
     left = table(spark, sf, "orders").withColumn("size", (F.col("o_orderkey") % 50 + 1).cast("int"))
-    out = L.expand(left, table(spark, sf, "part"), {"size": "p_size"}, ["p_partkey"], ["o_orderkey"], F.col("__r_p_retailprice") * 100 <= F.col("o_totalprice"), F.struct("__r_p_retailprice", "__r_p_partkey"))
+    out = L.as_of(left, table(spark, sf, "part"), {"size": "p_size"}, "o_totalprice", F.col("p_retailprice") * 100, {"p_partkey": "p_partkey"}, ties=["p_partkey"])
     return out.select("o_orderkey", "o_custkey", "p_partkey")
 
 
+@query("SELECT n_nationkey, s_suppkey FROM (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey DESC) AS rn FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND length(s_name) + n_nationkey > s_suppkey % 7 + 20) WHERE rn = 1")
+def expand_by_condition(spark, sf):
+    condition = F.length("__r_s_name") + F.col("n_nationkey") > F.col("__r_s_suppkey") % 7 + 20
+    return L.expand(table(spark, sf, "nation"), table(spark, sf, "supplier"), {"n_nationkey": "s_nationkey"}, ["s_suppkey"], ["n_nationkey"], condition, F.struct("__r_s_acctbal", "__r_s_suppkey")).select("n_nationkey", "s_suppkey")
+
+
 @query("SELECT e.event_id, p.event_id AS purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def as_of_lookup(spark, sf):
     events = table(spark, sf, "events")
@@ -450,13 +456,14 @@ def streaming_agg(spark, sf):
     return streams.collect_available(rows, "complete", work_path(spark, "stream"), work_path(spark, "stream-state"))
 
 
-@query("SELECT p_partkey, p_brand || '-' || p_type AS label FROM part WHERE p_size >= 10")
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' ELSE p_brand || '-' || p_type END AS label FROM part WHERE p_size >= 10")
 def fluent_sequence(spark, sf):
     """Several operators chained, with a conditional block."""
     return (
         Seq(table(spark, sf, "part"))
         .remove_rows(F.col("p_size") < 10)
         .merge_text_columns(["p_brand", "p_type"], "label", "-", drop_source=True)
+        .when(F.col("p_size") > 40, lambda rows: rows.then(lambda df: df.withColumn("label", F.lit("large"))))
         .keep_columns("p_partkey", "label")
         .result()
     )

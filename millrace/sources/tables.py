@@ -86,13 +86,37 @@ class Tables:
         self.spark = spark
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """name holds rows; they are staged first, so rows may read name."""
+        """name holds rows; they are staged first, so rows may read name, and a failure at any point leaves it as it was."""
         stage = f"{name}__stage_{uuid.uuid4().hex[:12]}"
         try:
             rows.write.saveAsTable(stage)
-            self.spark.table(stage).write.mode("overwrite").saveAsTable(name)
+            self.publish({name: stage})
         finally:
-            self.spark.sql(f"DROP TABLE IF EXISTS {stage}")
+            self.drop(stage)
+
+    def publish(self, stages: dict[str, str]) -> None:
+        """Each table becomes what its stage is, by renaming.  Replaced tables are kept until all are
+        published; if one cannot be, they are put back and the stages are stages again."""
+        kept: dict[str, str] = {}
+        done: dict[str, str] = {}
+        try:
+            for name, stage in stages.items():
+                if self.spark.catalog.tableExists(name):
+                    old = f"{name}__old_{uuid.uuid4().hex[:12]}"
+                    self._rename(name, old)
+                    kept[name] = old
+                self._rename(stage, name)
+                done[name] = stage
+        except Exception:
+            for name, stage in done.items():
+                self._rename(name, stage)
+            for name, old in kept.items():
+                self._rename(old, name)
+            raise
+        self.drop(*kept.values())
+
+    def _rename(self, old: str, new: str) -> None:
+        self.spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
 
     def create(self, name: str, rows: DataFrame) -> None:
         rows.write.saveAsTable(name)
@@ -144,9 +168,10 @@ class Tables:
             raise StepFailed(f"{name}: {keys} is no key")
 
     def load_staged(self, targets: dict[str, Callable[[], DataFrame]], finalize: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None, retries: int = 3, skip_empty: bool = True) -> None:
-        """Loads every target into a staging table first; only when all are complete, each is moved over:
-        replaced, or as finalize(target, staged) says.  The moving is tried again on failure."""
+        """Loads every target into a staging table first; only when all are complete, they are published together:
+        replaced, or as finalize(target, staged) says.  Publishing is tried again on failure, all of it, and is undone if it fails for good."""
         stages = {name: f"{name}__stage_{uuid.uuid4().hex[:12]}" for name in targets}
+        finals = {}
         try:
             for name, make in targets.items():
                 make().write.saveAsTable(stages[name])
@@ -154,13 +179,16 @@ class Tables:
                 staged = self.spark.table(stage)
                 if skip_empty and staged.limit(1).count() == 0:
                     continue
-                final = (finalize or {}).get(name)
-                for turn in range(retries + 1):
-                    try:
-                        self.replace(name, final(self.spark.table(name), staged) if final else staged)
-                        break
-                    except Exception:
-                        if turn == retries:
-                            raise
+                finals[name] = stage
+                if final := (finalize or {}).get(name):
+                    finals[name] = f"{stage}_final"
+                    final(self.spark.table(name), staged).write.saveAsTable(finals[name])
+            for turn in range(retries + 1):
+                try:
+                    self.publish(finals)
+                    break
+                except Exception:
+                    if turn == retries:
+                        raise
         finally:
-            self.drop(*stages.values())
+            self.drop(*stages.values(), *finals.values())

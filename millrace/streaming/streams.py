@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..errors import require_columns
+from ..errors import require, require_columns
 from ..operators.aggregate import Aggregate
 
 
@@ -52,18 +53,24 @@ def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if all_available else writer.trigger(processingTime=flush)).start()
 
 
-def collect_available(stream: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
+def collect_available(stream: DataFrame, mode: str, path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
     """Runs the stream over what there is and returns its result as a table.
 
-    append writes as it goes; complete and update keep the last batch's state of each key."""
+    append writes as it goes; complete keeps the last batch; update writes what each
+    batch changed and keeps the last state of each of `keys`.  A repeated batch replaces its own files."""
+    require(mode in ("append", "complete", "update"), f"no such output mode: {mode}")
+    require(mode != "update" or bool(keys), "update needs keys")
     spark = stream.sparkSession
     schema = stream.schema
     if mode == "append":
         stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    else:
+        return spark.read.schema(schema).parquet(path)
 
-        def save(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/__batch={number}" if mode == "update" else path)
 
-        stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("__batch", T.LongType())])).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.fieldNames()), "__batch").alias("__row")).select("__row.*")

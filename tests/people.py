@@ -2,6 +2,7 @@
 
 from datetime import datetime as dt
 
+# The inputs that the known results belong to.
 PERSON_SCHEMA = "id int, name string, age int, height int, eyeColor string, countryId int, birthDate string, lastChangedTime timestamp_ntz"
 PERSON = [
     (0, "A", 17, 160, "brown", 1, "2010-12-09", dt(2015, 12, 19, 12, 0, 1)),

@@ -101,3 +101,8 @@ def test_schema_fingerprint(spark):
     a = spark.createDataFrame([], "a int, B string").schema
     b = spark.createDataFrame([], "b string, A int").schema
     assert K.schema_fingerprint(a) == K.schema_fingerprint(b) != K.schema_fingerprint(spark.createDataFrame([], "a bigint, b string").schema)
+
+
+def test_broken_xml_is_null(spark):
+    df = spark.createDataFrame([("<r><a>1</a><b>x</b></r>",), ("<r><a>1",), ("no xml",), (None,)], "t string")
+    assert [r.x and tuple(r.x) for r in df.select(C.from_xml(F.col("t"), "a int, b string").alias("x")).collect()] == [(1, "x"), None, None, None]

@@ -11,6 +11,7 @@ from millrace.functions import convert as C
 from millrace.operators import aggregate as A
 from millrace.plans.flow import Flow
 from millrace.sinks import files as sinks
+from millrace.sources.custom import read_custom
 from millrace.sources import delimited as D
 from millrace.sources import json as J
 from millrace.sources import tables as T
@@ -117,3 +118,44 @@ def test_flow():
     assert flow.values["y"] == 3
     with pytest.raises(StepFailed):
         Flow().run(lambda: 1 / 0).raise_failures()
+
+
+def test_a_failed_replacement_leaves_the_table(spark, monkeypatch):
+    jobs = T.Tables(spark)
+    spark.sql("DROP TABLE IF EXISTS kept_one")
+    spark.sql("DROP TABLE IF EXISTS kept_two")
+    jobs.create("kept_one", spark.createDataFrame([(1,)], "k int"))
+    jobs.create("kept_two", spark.createDataFrame([(2,)], "k int"))
+    before = set(jobs.names())
+    with pytest.raises(Exception, match="broken"):
+        jobs.replace("kept_one", spark.table("kept_one").withColumn("k", F.raise_error("broken").cast("int")))
+    rename, once = T.Tables._rename, []
+
+    def failing_once(self, old, new):
+        if new == "kept_two" and "__stage_" in old and not once:
+            once.append(new)
+            raise RuntimeError("no rename")
+        rename(self, old, new)
+
+    monkeypatch.setattr(T.Tables, "_rename", failing_once)
+    with pytest.raises(RuntimeError):
+        jobs.replace("kept_two", spark.createDataFrame([(9,)], "k int"))
+    once.clear()
+    with pytest.raises(RuntimeError):
+        jobs.load_staged({"kept_one": lambda: spark.createDataFrame([(7,)], "k int"), "kept_two": lambda: spark.createDataFrame([(8,)], "k int")}, retries=0)
+    assert [r.k for r in spark.table("kept_one").collect()] == [1] and [r.k for r in spark.table("kept_two").collect()] == [2]
+    once.clear()
+    jobs.load_staged({"kept_one": lambda: spark.createDataFrame([(7,)], "k int"), "kept_two": lambda: spark.createDataFrame([(8,)], "k int")}, retries=1)
+    assert [r.k for r in spark.table("kept_one").collect()] == [7] and [r.k for r in spark.table("kept_two").collect()] == [8]
+    assert set(jobs.names()) == before
+    jobs.drop("kept_one", "kept_two")
+
+
+def test_values_of_the_last_row_become_variables(spark):
+    flow = Flow().set_from("last", lambda: spark.createDataFrame([(1, "a"), (3, "c"), (2, "b")], "k int, v string"), "v", ["k"])
+    assert flow.raise_failures().values["last"] == "c"
+
+
+def test_rows_of_a_custom_source(spark):
+    out = read_custom(spark, lambda part: [(part, i) for i in range(part)], "part int, i int", 4, "triangle")
+    assert sorted(tuple(r) for r in out.collect()) == [(p, i) for p in range(4) for i in range(p)]

@@ -1,4 +1,4 @@
-"""Operators on small tables with known results."""
+"""Operators on small tables with known results.  Fixed values: the results that belong to the tables of people.py."""
 
 from datetime import datetime as dt
 
@@ -193,3 +193,39 @@ def test_merge_and_split(spark):
 def test_latest_and_earliest_of_nothing(spark):
     out = A.aggregate(people.person(spark).where("id = 6"), ["id"], [A.latest("lastChangedTime", "hi"), A.earliest("lastChangedTime", "lo")]).first()
     assert out.hi == dt(1, 1, 1) and out.lo.year == 9999
+
+
+def test_lookups_drop_only_what_they_add(spark):
+    left = spark.createDataFrame([(1, "n", 5), (2, "m", 6)], "k int, __key_note string, __input int")
+    right = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    out = L.join(left, right, ["k"], ["v"])
+    assert out.columns == ["k", "__key_note", "__input", "v"] and out.count() == 3
+    found = L.expand(left, right, ["k"], ["v"], ["k"], best=F.col("__r_v"))
+    assert got(found) == [(1, "n", 5, "b"), (2, "m", 6, None)] and found.columns == ["k", "__key_note", "__input", "v"]
+    assert L.key_test(left, right, ["k"], L.Action(set={"__input": F.lit(0)})).columns == left.columns
+    assert L.compare_rows(left, right, ["k"], L.equal_columns(["k"]), ["v"]).columns == left.columns
+
+
+def test_too_many_matches_are_told_on_the_right_side(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    out = L.join(left, right, ["k"], ["v"], match_limit=1, match_order=["v"], too_many=L.Action(set={"v": F.lit("many")}))
+    assert got(out) == [(1, "a"), (2, "c"), (3, None), (3, None)]
+
+
+def test_as_of_takes_the_nearest_and_splits_hot_keys(spark):
+    left = [(i, "hot" if i % 5 else None if i % 2 else "rare", float(i % 97)) for i in range(400)]
+    right = [(j, "hot" if j % 3 else None if j % 2 else "rare", float(j * 7 % 101)) for j in range(90)]
+    one, two = spark.createDataFrame(left, "id int, key string, at double"), spark.createDataFrame(right, "id int, key string, from double")
+    out = {r.id: r.found for r in L.as_of(one, two, ["key"], "at", "from", {"found": "id"}, ties=["id"]).collect()}
+    for i, key, at in left:
+        fits = [(f, j) for j, k, f in right if key is not None and k == key and f <= at]
+        assert out[i] == (max(fits)[1] if fits else None)
+    assert L.as_of(one, two, ["key"], "at", "from", {"found": "id"}, no_match=L.Action(L.REMOVE)).count() == sum(v is not None for v in out.values())
+
+
+def test_reduced_groups_are_altered(spark):
+    df = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (2, 3, 30)], "g int, o int, v int")
+    assert got(A.reduce_groups(df, ["g"], ["o"], set={"v": F.sum("v"), "n": F.count(F.lit(1))})) == [(1, 1, 30, 2), (2, 3, 30, 1)]
+    assert got(A.reduce_groups(df, ["g"], ["o"], where=F.col("v") > 10, set={"v": F.sum("v")}, keep_single=True)) == [(1, 2, 30), (2, 3, 30)]
+    assert got(A.reduce_groups(df, ["g"], ["o"], where=F.col("v") > 100, keep_single=True)) == [(2, 3, 30)]
