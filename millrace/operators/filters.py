@@ -37,9 +37,9 @@ def remove_rows_with_error(df: DataFrame) -> DataFrame:
     return df.where(~has_error()) if ERRORS in df.columns else df
 
 
-def remove_blank_rows(df: DataFrame) -> DataFrame:
-    """Rows whose every value is null or an empty text go."""
-    data = [c for c in df.columns if c not in (ERRORS, TAG)]
+def remove_blank_rows(df: DataFrame, ignoring: list[str] = ()) -> DataFrame:
+    """Rows whose every value is null or an empty text go; ignored columns do not count."""
+    data = [c for c in df.columns if c not in (ERRORS, TAG, *ignoring)]
     some = F.lit(False)
     for c in data:
         some = some | _true((F.col(c).cast("string") != "") if df.schema[c].dataType.typeName() == "string" else F.col(c).isNotNull())

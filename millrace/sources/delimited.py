@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +73,58 @@ def header_names(spark: SparkSession, path: str | list[str], delimiter: str, enc
     return next(csv.reader(io.StringIO(first[0][0].lstrip("﻿").rstrip("\r")), delimiter=delimiter), [])
 
 
+def _records(text: str, skip_lines: int, line_break: str | None) -> Iterator[str]:
+    """Records of a file: lines, joined while a quoted cell is open."""
+    held: list[str] = []
+    for i, line in enumerate(re.split(re.escape(line_break) if line_break else r"\r?\n", text)):
+        if i < skip_lines:
+            continue
+        held.append(line)
+        if sum(x.count('"') for x in held) % 2 == 0:
+            yield (line_break or "\n").join(held)
+            held = []
+    if held:
+        yield (line_break or "\n").join(held)
+
+
+def _cells(record: str, delimiter: str, keep_quotes: bool) -> list[str | None]:
+    """Cells of a record: nothing is null, a pair of quotes an empty text; doubled quotes in a quoted cell are one."""
+    out: list[str | None] = []
+    for cell in re.findall(rf'(?:^|{re.escape(delimiter)})((?:"(?:[^"]|"")*"|[^{re.escape(delimiter)}"])*)', record):
+        if len(cell) > 1 and cell[0] == cell[-1] == '"':
+            inner = cell[1:-1].replace('""', '"')
+            out.append(f'"{inner}"' if keep_quotes else inner)
+        else:
+            out.append(cell or None)
+    return out
+
+
+def _file_by_file(spark: SparkSession, path: str | list[str], names: list[str] | None, header: str, delimiter: str, line_break: str | None, encoding: str, skip_lines: int, keep_quotes: bool) -> tuple[DataFrame, list[str]]:
+    """(file, row, cells) of every record, a file a task, and the column names."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                records = _records(content.as_py().decode(encoding).removeprefix("\ufeff"), skip_lines, line_break)
+                numbered = enumerate(_cells(r, delimiter, keep_quotes) for r in records)
+                while piece := list(islice(numbered, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(piece)), pa.array([i for i, _ in piece], pa.int64()), pa.array([c for _, c in piece], pa.list_(pa.string()))], ["file", "row", "cells"])
+
+    rows = files.mapInArrow(parsed, "file string, row long, cells array<string>")
+    if header == "has":
+        first = rows.where("row = 0").limit(1).collect()
+        names = [(n or "").strip('"') for n in first[0]["cells"]] if first else []
+    return rows.where("row > 0") if header != "none" else rows, names or []
+
+
+def cells_hold_breaks(spark: SparkSession, path: str | list[str], line_break: str | None, encoding: str) -> bool:
+    """Whether a line has an odd number of quotes, which is so if and only if a cell holds a line break."""
+    reader = spark.read.option("encoding", encoding)
+    lines = (reader.option("lineSep", line_break) if line_break else reader).text(path)
+    return bool(lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count())
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -79,34 +134,56 @@ def read_delimited(
     delimiter: str = ";",
     line_break: str | None = "\r\n",
     encoding: str = "utf-8",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     file_column: str | None = None,
+    row_column: str | None = None,
+    skip_lines: int = 0,
+    keep_quotes: bool = False,
     keep_blank: bool = False,
     drop_errors: bool = False,
     missing_ok: bool = False,
 ) -> DataFrame:
     """Rows of delimited files: quotes doubled, cells may hold line breaks, an unquoted empty cell is null
     and a quoted one an empty text.  header: has, none or ignore (both with `names`).  Cells beyond the
-    header are dropped.  For large files without line breaks in cells, multi_line=False splits files."""
+    header are dropped.  Large files are split unless cells hold line breaks, which is looked for if
+    multi_line does not say.  skip_lines (before the header), keep_quotes (around quoted cells) and row_column
+    (a record's number in its file, from 0) read file by file, each in one task's memory."""
     require(header in ("has", "none", "ignore"), f"no such header mode: {header}")
-    if header == "has":
+    by_file = bool(skip_lines or keep_quotes or row_column)
+    if by_file:
+        parsed, names = _file_by_file(spark, path, names, header, delimiter, line_break, encoding, skip_lines, keep_quotes)
+    elif header == "has":
         names = header_names(spark, path, delimiter, encoding)
+    if header == "has":
         seen = [n.lower() for n in names if n]
         if len(seen) != len(set(seen)):
             raise InvalidParameter(f"duplicate column in header: {names}")
     require(bool(names), "column names are needed")
     kept = [n or f"__unnamed{i}" for i, n in enumerate(names)]
+    if by_file:
+        extra = [F.col("file").alias(file_column)] if file_column else []
+        first = 1 if header != "none" else 0
+        extra += [(F.col("row") - first).alias(row_column)] if row_column else []
+        rows = parsed.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(kept)], *extra)
+    else:
+        rows = _split(spark, path, kept, header, delimiter, line_break, encoding, multi_line, missing_ok)
+        rows = rows.withColumn(file_column, F.input_file_name()) if file_column else rows
+    rows = rows.drop(*[n for n in kept if n.startswith("__unnamed")])
+    places = [c for c in (file_column, row_column) if c]
+    if columns is not None:
+        rows = apply_columns(rows, columns + [ReadColumn(c) for c in places])
+    rows = rows if keep_blank else remove_blank_rows(rows, ignoring=places)
+    return remove_rows_with_error(rows) if drop_errors else rows
+
+
+def _split(spark: SparkSession, path: str | list[str], kept: list[str], header: str, delimiter: str, line_break: str | None, encoding: str, multi_line: bool | None, missing_ok: bool) -> DataFrame:
+    """All columns as texts, read by Spark's own reader."""
+    if multi_line is None:
+        multi_line = cells_hold_breaks(spark, path, line_break, encoding)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in kept])
     reader = spark.read.schema(schema).option("sep", delimiter).option("quote", '"').option("escape", '"').option("header", header != "none")
     reader = reader.option("enforceSchema", True).option("emptyValue", "").option("nullValue", _ABSENT).option("encoding", encoding).option("multiLine", multi_line)
     reader = reader.option("ignoreMissingFiles", missing_ok)
     if line_break:
         reader = reader.option("lineSep", line_break)
-    rows = reader.csv(path)
-    if file_column:
-        rows = rows.withColumn(file_column, F.input_file_name())
-    rows = rows.drop(*[n for n in kept if n.startswith("__unnamed")])
-    if columns is not None:
-        rows = apply_columns(rows, columns + ([ReadColumn(file_column)] if file_column else []))
-    rows = rows if keep_blank else remove_blank_rows(rows)
-    return remove_rows_with_error(rows) if drop_errors else rows
+    return reader.csv(path)

@@ -159,3 +159,22 @@ def test_values_of_the_last_row_become_variables(spark):
 def test_rows_of_a_custom_source(spark):
     out = read_custom(spark, lambda part: [(part, i) for i in range(part)], "part int, i int", 4, "triangle")
     assert sorted(tuple(r) for r in out.collect()) == [(p, i) for p in range(4) for i in range(p)]
+
+
+def test_delimited_skipped_lines_kept_quotes_and_row_numbers(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_bytes('a comment\r\nof two lines\r\nId;Name;Value1;Value2;\r\n1;A;"te""s""t;test";-1;\r\n2;"tes""t;t""est";;-1;\r\n3;"line\r\nbreak";"";0;\r\n;;;;\r\n'.encode())
+    columns = [D.ReadColumn("id", C.to_whole, "Id", {"kind": "int"}), D.ReadColumn("name", source="Name"), D.ReadColumn("text", source="Value1")]
+    rows = D.read_delimited(spark, str(path), columns, skip_lines=2, row_column="row", file_column="file")
+    assert [(r.row, r.id, r.name, r.text) for r in rows.orderBy("row").collect()] == [(0, 1, "A", 'te"s"t;test'), (1, 2, 'tes"t;t"est', None), (2, 3, "line\r\nbreak", "")]
+    assert rows.first()["file"].endswith("q.csv")
+    kept = D.read_delimited(spark, str(path), columns, skip_lines=2, keep_quotes=True)
+    assert [(r.id, r.name, r.text) for r in kept.orderBy("id").collect()][:2] == [(1, "A", '"te"s"t;test"'), (2, '"tes"t;t"est"', None)]
+
+
+def test_files_are_split_unless_cells_hold_breaks(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_bytes(b'a;b\r\n1;"x;y"\r\n')
+    broken.write_bytes(b'a;b\r\n1;"x\r\ny"\r\n')
+    assert [D.cells_hold_breaks(spark, str(p), "\r\n", "utf-8") for p in (plain, broken)] == [False, True]
+    assert [D.read_delimited(spark, str(p)).first()["b"] for p in (plain, broken)] == ["x;y", "x\r\ny"]
