@@ -144,8 +144,8 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, text: str = "text"
     """The machine learned from labels (key, label 0 or 1); None without labelled rows.
 
     Only `sample` labelled rows, the first by a hash of their key, are fitted
-    on, so what is broadcast (16 bytes a row) and the buckets that are gathered for
-    training (four bytes a term) are bounded.
+    on, so what is broadcast (16 bytes a row) and the task that trains on their
+    buckets (four bytes a term) are bounded.
     """
     text_batches(docs.sparkSession)
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
@@ -159,14 +159,23 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["label", "terms"])
 
     found_rows = scratch.save(rows.select("_label", "_text").mapInArrow(found, "label int, terms binary"))
-    sampled = sorted((r["label"], bytes(r["terms"])) for r in found_rows.toLocalIterator())  # a partition at a time
+    fitted = found_rows.coalesce(1).mapInArrow(_fitted, "base double, weights binary, factors binary").collect()  # one row; the sample is bounded
     scratch.drop(marked, found_rows)
-    if not sampled:
+    if not fitted:
         return None
-    marks = np.array([mark > 0 for mark, _ in sampled], dtype=np.float64)
-    found = [np.frombuffer(t, "<i4") for _, t in sampled]
-    del sampled
-    return fit_machine(found, marks)
+    base, weights, factors = fitted[0]
+    return Machine(base, np.frombuffer(weights, "<f4"), np.frombuffer(factors, "<f4").reshape(BUCKETS, FACTORS))
+
+
+def _fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine learned from all (label, terms) rows, in the order of their values; nothing without rows."""
+    sampled = sorted((label, terms.as_py()) for batch in it for label, terms in zip(batch.column(0).to_pylist(), batch.column(1)))
+    if sampled:
+        marks = np.array([mark > 0 for mark, _ in sampled], dtype=np.float64)
+        found = [np.frombuffer(t, "<i4") for _, t in sampled]
+        del sampled
+        machine = fit_machine(found, marks)
+        yield pa.RecordBatch.from_arrays([pa.array([machine.base]), pa.array([machine.weights.astype("<f4").tobytes()]), pa.array([machine.factors.astype("<f4").tobytes()])], ["base", "weights", "factors"])
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", out: str = "score") -> DataFrame:
