@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     components = connected_components(scratch, linked_prints(distinct, radius, shard).select("a", "b"))
     roots = distinct.join(components, distinct.fp == components.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = scratch.save(roots)
+    scratch.drop(distinct)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, prints.fp == named._fp).select(key, "fp", "component_id")
@@ -384,11 +385,13 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     components = connected_components(scratch, links(edges))
     parts = classes.join(components, F.col("r") == F.col("node"), "left").select("r", F.coalesce("component", "r").alias("c"))
     texts = wide.select(F.col(row).alias("r"), F.col(text).cast("binary").alias("t"))
-    rest = links(similar_candidates(scratch, texts, scratch.save(parts), similarity, shingle))
+    parts = scratch.save(parts)
+    rest = links(similar_candidates(scratch, texts, parts, similarity, shingle))
     components = connected_components(scratch, rest.union(components.toDF("a", "b")))
     grouped = classes.join(components, F.col("r") == F.col("node"), "left").withColumn("root", F.coalesce("component", "r"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
     gone = scratch.save(wide.select(F.col(row).alias(removed)).join(kept, F.col(removed) == F.col("_kept"), "left_anti"))
+    scratch.drop(classes, distinct, edges, parts)
     return wide.join(gone, F.col(row) == F.col(removed), "left_anti").select(*docs.columns)
 
 
