@@ -4,6 +4,7 @@ ranks and connected components."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,19 +139,39 @@ def ranked(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], r
     return ordered.join(firsts, same, "inner").withColumn(rank, F.col(at) + F.col("_shift")).select(*df.columns, rank)
 
 
-def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, component) of every node on an edge (a, b); the component is its smallest node.
+def _united(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges (a, b) of one task, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in it:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def connected_components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, component) of every node on an edge (a, b), longs; the component is its smallest node.
 
     Alternating large-star and small-star contraction: each round points
     neighbours at the smallest node they can see.  Only minima are grouped, so
-    a node with very many edges is pre-aggregated, never gathered.
+    a node with very many edges is pre-aggregated, never gathered.  Edges that are
+    at most `one_task`, counted, are united by one task.
     """
     current = scratch.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     mark, last = _mark(current), current
+    if mark[0] <= one_task:
+        return current.coalesce(1).mapInArrow(_united, "node long, component long")
     while mark[0]:
-        current = few(current, mark[0])
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("u"), F.least("a", "low").alias("low"))
         large = both.join(low, both.a == low.u).where("b > u").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()

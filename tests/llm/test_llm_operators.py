@@ -33,12 +33,13 @@ def odd_docs(spark):
 # components and ranks
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("one_task", [1 << 17, 0])
+def test_components_of_paths_stars_and_cycles(spark, one_task):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 90)] + [(300, 301), (301, 302), (302, 300), (7, 7)]
     random.Random(1).shuffle(edges)
-    got = {r.node: r.component for r in connected_components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(90)}, **{300 + i: 300 for i in range(3)}}
-    assert connected_components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 def test_ranks_of_a_hot_key(spark):
