@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.plans import queries  # noqa: F401
+from millrace.plans import more_queries, queries  # noqa: F401
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
 
