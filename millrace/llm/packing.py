@@ -155,7 +155,10 @@ def _superstep(scratch: Scratch, gaps: DataFrame, pieces: DataFrame, shortest: i
         wanting = alone.where("piece").join(plan, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")), "left")
         wanting = wanting.select("id", "size", "source", (F.col("top") - (F.col("rank") - F.col("from"))).alias("at"))
         free = alone.where("NOT piece").select(F.col("id").alias("mate"), F.col("size").alias("mate_size"), "part", "rank")
-        late = scratch.save(wanting.join(free, (F.col("source") == F.col("part")) & (F.col("at") == F.col("rank")), "full").select("id", "size", "mate", "mate_size"))
+        # every planned piece has its gap; those without a plan stay out of the join, where they would all have one key
+        met_late = free.join(wanting.where("source IS NOT NULL"), (F.col("source") == F.col("part")) & (F.col("at") == F.col("rank")), "left").select("id", "size", "mate", "mate_size")
+        none = wanting.where("source IS NULL").select("id", "size", F.lit(None).cast("long").alias("mate"), F.lit(None).cast("int").alias("mate_size"))
+        late = scratch.save(met_late.union(none))
     met = met.union(late)
     placed = met.where("id IS NOT NULL AND mate IS NOT NULL").select("id", "size", F.col("mate").alias("sequence_id"))
     waiting = late.where("mate IS NULL").select("id", "size")
