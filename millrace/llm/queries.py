@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op11_bpe
 from .embedding_dedup import OP5_SQL, op5_embedding_near_dedup
 from .html_extract import op9_html_main_text
 from .licences import OP10_SQL, op10_licence_scan
 from .mixing import op7_mixing
 from .packing import op4_best_fit_packing
+from .prefix_trie import op13_prefix_trie
 from .quality import op1_quality
 from .simhash import op3_simhash_near_dedup
 from .token_files import op6_token_files
@@ -26,6 +28,8 @@ QUERIES = {
         op8_toxicity,
         op9_html_main_text,
         op10_licence_scan,
+        op11_bpe,
+        op13_prefix_trie,
     )
 }
 ORACLE_SQL: dict[str, str] = {
