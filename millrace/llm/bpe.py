@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Recent, text_batches, unused_name
 
 #: White space of the Unicode standard; Python's own split takes four control characters more.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the pattern of words in the vocabulary file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

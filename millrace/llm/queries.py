@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .bpe import op11_bpe
 from .embedding_dedup import OP5_SQL, op5_embedding_near_dedup
 from .html_extract import op9_html_main_text
@@ -29,6 +30,7 @@ QUERIES = {
         op9_html_main_text,
         op10_licence_scan,
         op11_bpe,
+        op12_alignment,
         op13_prefix_trie,
     )
 }
