@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..errors import ERRORS, RESERVED, TAG, fail_when, require, require_columns, set_errors, with_errors, without_error_of
 from ..functions import keys as key_functions
 from ..functions import text as text_functions
-from .ordering import bucketed, within, with_previous
+from ..workspace import unused
+from .ordering import numbered, with_previous
 
 
 def remove_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -146,12 +146,9 @@ def convert(
 
 def add_incremental_id(df: DataFrame, column: str, order: list[str], first: int = 0, kind: str = "long") -> DataFrame:
     """Consecutive numbers from `first` in the given order."""
-    rows = bucketed(df, order)
-    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("__bucket").alias("__b"), before.alias("__before"))  # a row a bucket
-    rows = rows.withColumn("__at", F.row_number().over(within(order))).join(F.broadcast(counts), F.col("__bucket") == F.col("__b"))
-    number = F.col("__at") + F.col("__before") + (first - 1)
+    at = unused(df, "__at")
+    rows = numbered(df, order, at)
+    number = F.col(at) + first
     return rows.select(*[c for c in df.columns if c != column], (number.cast("int") if kind == "int" else number.cast("long")).alias(column))
 
 

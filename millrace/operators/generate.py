@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RESERVED, TAG, require, require_columns
+from ..workspace import unused
+from .ordering import ranged
 
 
 def explode_rows(df: DataFrame, rows: Column, keep_original: bool = False) -> DataFrame:
@@ -27,6 +33,64 @@ def explode_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], I
     return df.mapInPandas(lambda batches: iter(function(batches)), schema)
 
 
+@dataclass(frozen=True)
+class Scan:
+    """How a whole input, in one order, becomes other rows, a range of it at a time.
+
+    empty: the state before the first row.  summary(frames): what a range, on its own, does to a state.
+    combine(a, b): a, then b; associative, with `empty` neutral.  rows(state, frames): the rows made of
+    a range, given the state before it.  States are pickled and should be small: there is one for each range."""
+
+    empty: Any
+    summary: Callable[[Iterator[pd.DataFrame]], Any]
+    combine: Callable[[Any, Any], Any]
+    rows: Callable[[Any, Iterator[pd.DataFrame]], Iterable[pd.DataFrame]]
+
+
+def explode_whole(df: DataFrame, order: list[str], scan: Scan, schema: str, keep_original: bool = False, ranges: int | None = None) -> DataFrame:
+    """Rows that a scan makes of all rows of df in one global order (nulls first).
+
+    A parallel prefix scan: each range is summed up on its own, the summaries (a row a range) are
+    combined from left to right, and each range is gone through again from the state before it, frame by
+    frame.  No task holds more than a frame of its range.  With keep_original df's rows come along."""
+    r = ranged(df, order, ranges)
+    state = unused([*df.columns, r.range, r.place], "__state")
+    columns, place = df.columns, r.place
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts: list[int] = []
+
+        def own() -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    starts[:] = starts or [int(frame[place].iloc[0])]
+                    yield frame[columns]
+
+        found = scan.summary(own())
+        if starts:
+            yield pd.DataFrame({place: starts, state: [pickle.dumps(found)]})
+
+    def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        so_far = scan.empty
+        for frame in frames:
+            for start, found in zip(frame[place], frame[state]):
+                yield pd.DataFrame({place: [start], state: [pickle.dumps(so_far)]})
+                so_far = scan.combine(so_far, pickle.loads(found))
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next((f for f in frames if len(f)), None)
+        if first is not None:
+            own = (f[columns] for f in chain([first], frames) if len(f))
+            yield from scan.rows(pickle.loads(first[state].iloc[0]), own)
+
+    kinds = f"`{place}` long, `{state}` binary"
+    states = r.together().sortWithinPartitions(place).mapInPandas(summed, kinds)
+    carried = states.coalesce(1).sortWithinPartitions(place).mapInPandas(scanned, kinds)  # a row a range, for its first row
+    rows = r.together().join(F.broadcast(carried), place, "left")
+    out = rows.sortWithinPartitions(place).mapInPandas(made, schema)
+    return df.unionByName(out, allowMissingColumns=True) if keep_original else out
+
+
 def unpivot(df: DataFrame, dimension: str, value: str, values: list[str] | None = None, fixed: list[str] | dict[str, str] | None = None, skip_nulls: bool = True) -> DataFrame:
     """Columns become rows of (dimension, value).
 

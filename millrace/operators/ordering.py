@@ -1,76 +1,94 @@
 """Work over one global order without pulling all rows into one task.
 
-Rows are put into buckets by bounds on the order columns, taken from a bounded
-sample; per-bucket totals (a row a bucket) give what comes before each bucket,
-and within a bucket ordinary windows do the rest.  Bounds are plain values in
-the plan, so a repeated task sees the same buckets.
+Rows are range-sorted and written, so that the order is fixed, with the number of each row's
+range and its place in the order.  Rows of equal order values are cut among ranges as any
+others are, so a value that most rows have takes several tasks.  A row a range, its summary,
+gives what comes before each range; within a range ordinary windows do the rest.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..errors import require, require_columns
-
-SAMPLE_PER_BUCKET = 32
+from ..workspace import unused, written
 
 
-def buckets_for(df: DataFrame) -> int:
+def ranges_for(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucketed(df: DataFrame, order: list[str], name: str = "__bucket", buckets: int | None = None) -> DataFrame:
-    """df with a bucket number that rises with the order columns (nulls first)."""
+@dataclass(frozen=True)
+class Ranged:
+    """Written rows with two columns more: `range`, from 0, and `place`, which rises in the global order."""
+
+    rows: DataFrame
+    range: str
+    place: str
+    count: int
+
+    def together(self, rows: DataFrame | None = None) -> DataFrame:
+        """Each range in a task of its own."""
+        return (self.rows if rows is None else rows).repartitionById(self.count, self.range)
+
+    @property
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(self.range).orderBy(self.place)
+
+    def before(self, summaries: DataFrame, **values: Column) -> DataFrame:
+        """summaries, a row a range, with values over the ranges before each; to be broadcast, as there are `count` rows at most."""
+        earlier = Window.orderBy(self.range).rowsBetween(Window.unboundedPreceding, -1)
+        return summaries.select(F.col(self.range), *[v.over(earlier).alias(n) for n, v in values.items()])
+
+
+def ranged(df: DataFrame, order: list[str], ranges: int | None = None) -> Ranged:
+    """df in one global order, nulls first; rows of equal values keep the order they are read in."""
     require(bool(order), "a global order needs order columns")
     require_columns(df, *order)
-    n = buckets or buckets_for(df)
-    key = F.struct(*[F.col(c) for c in order])
-    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(n * SAMPLE_PER_BUCKET)
-    ranked = sample.orderBy(*[F.col(c).asc_nulls_first() for c in order]).collect()  # n * SAMPLE_PER_BUCKET rows at most
-    bounds = [ranked[i] for i in range(SAMPLE_PER_BUCKET // 2, len(ranked), SAMPLE_PER_BUCKET)]
-    bounds = list(dict.fromkeys(bounds))
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    kinds = [df.schema[c].dataType for c in order]
-    limits = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(c) for v, kind, c in zip(row, kinds, order)]) for row in bounds])
-    return df.withColumn(name, F.size(F.filter(limits, lambda b: b <= key)))
+    count = ranges or ranges_for(df)
+    number, place = unused(df, "__range"), unused(df, "__place")
+    keys = [*[F.col(c).asc_nulls_first() for c in order], F.col(place)]
+    rows = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(count, *keys).sortWithinPartitions(*keys)
+    rows = written(rows.withColumn(place, F.monotonically_increasing_id()), "ranged")
+    return Ranged(rows.withColumn(number, F.shiftright(place, 33).cast("int")), number, place, count)
 
 
-def within(order: list[str], bucket: str = "__bucket") -> WindowSpec:
-    return Window.partitionBy(bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's number in the global order, from 0."""
+    r = ranged(df, order)
+    n = unused(df, "__n")
+    counts = r.rows.groupBy(r.range).agg(F.count(F.lit(1)).alias(n))
+    before = r.before(counts, **{n: F.sum(n)})
+    own = F.col(r.place) - F.shiftleft(F.col(r.range).cast("long"), 33)
+    return r.rows.join(F.broadcast(before), r.range).withColumn(r.place, own + F.coalesce(n, F.lit(0))).drop(r.range, n).select(*df.columns, F.col(r.place).alias(name))
 
 
 def running_sum(df: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
     """df with the sum of value over all rows up to and including each, in global order."""
-    rows = bucketed(df, order).withColumn("__value", value)
-    totals = rows.groupBy("__bucket").agg(F.sum("__value").alias("__total"))
-    before = F.coalesce(F.sum("__total").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(F.col("__bucket").alias("__b"), before.alias("__before"))  # a row a bucket
-    own = F.sum("__value").over(within(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__own", own).join(F.broadcast(totals), F.col("__bucket") == F.col("__b"))
-    return rows.withColumn(name, F.col("__own") + F.col("__before")).select(*df.columns, name)
+    own, total = unused(df, "__own"), unused(df, "__total")
+    r = ranged(df.withColumn(own, value), order)
+    before = r.before(r.rows.groupBy(r.range).agg(F.sum(own).alias(total)), **{total: F.sum(total)})
+    rows = r.together().withColumn(own, F.sum(own).over(r.window.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(F.broadcast(before), r.range).withColumn(own, F.coalesce(own, F.lit(0)) + F.coalesce(total, F.lit(0)))
+    return rows.select(*df.columns, F.col(own).alias(name))
 
 
 def with_previous(df: DataFrame, values: dict[str, Column], order: list[str], skip_nulls: bool = False) -> DataFrame:
     """df with, for each name, the value of the row before (or the last non-null value before) in global order,
-    and __first, true for the first row."""
-    rows = bucketed(df, order)
-    for name, value in values.items():
-        rows = rows.withColumn(f"__v_{name}", F.struct(value.alias("v")) if not skip_nulls else F.when(value.isNotNull(), F.struct(value.alias("v"))))
-    key = F.struct(*order)
-    lasts = rows.groupBy("__bucket").agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), key)).alias(n) for n in values])
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select(F.col("__bucket").alias("__b"), *[F.last(n, ignorenulls=True).over(earlier).alias(f"__carry_{n}") for n in values])  # a row a bucket
-    rows = rows.join(F.broadcast(lasts), F.col("__bucket") == F.col("__b"))
-    w = within(order).rowsBetween(Window.unboundedPreceding, -1)
-    for name in values:
-        found = F.coalesce(F.last(f"__v_{name}", ignorenulls=True).over(w), F.col(f"__carry_{name}"))
-        rows = rows.withColumn(f"__p_{name}", found)
-    first = next(iter(values))
-    out = rows.withColumn("__first", F.col(f"__p_{first}").isNull())
-    return out.select(*df.columns, *[F.col(f"__p_{n}.v").alias(n) for n in values], "__first")
+    and __first, true where there is none."""
+    held = {n: f"__v_{n}" for n in values}
+    rows = df.withColumns({held[n]: F.struct(v.alias("v")) if not skip_nulls else F.when(v.isNotNull(), F.struct(v.alias("v"))) for n, v in values.items()})
+    r = ranged(rows, order)
+    lasts = r.rows.groupBy(r.range).agg(*[F.max_by(h, F.when(F.col(h).isNotNull(), F.col(r.place))).alias(f"__carry_{n}") for n, h in held.items()])
+    carried = r.before(lasts, **{f"__carry_{n}": F.last(f"__carry_{n}", ignorenulls=True) for n in values})
+    w = r.window.rowsBetween(Window.unboundedPreceding, -1)
+    rows = r.together().withColumns({f"__p_{n}": F.last(h, ignorenulls=True).over(w) for n, h in held.items()}).join(F.broadcast(carried), r.range)
+    found = {n: F.coalesce(f"__p_{n}", f"__carry_{n}") for n in values}
+    return rows.select(*df.columns, *[found[n]["v"].alias(n) for n in values], found[next(iter(values))].isNull().alias("__first"))
 
 
 def run_ids(df: DataFrame, keys: list[str], order: list[str], partition_by: list[str] | None = None, name: str = "__run") -> DataFrame:
@@ -83,6 +101,15 @@ def run_ids(df: DataFrame, keys: list[str], order: list[str], partition_by: list
             same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
         changed = df.withColumn("__changed", F.when((F.row_number().over(w) > 1) & same, 0).otherwise(1))
         return changed.withColumn(name, F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__changed")
-    row = with_previous(df, {"__before_key": F.struct(*keys)}, order)
-    changed = row.withColumn("__changed", F.when(~F.col("__first") & F.struct(*keys).eqNullSafe(F.col("__before_key")), 0).otherwise(1))
-    return running_sum(changed, F.col("__changed"), order, name).drop("__before_key", "__first", "__changed")
+    r = ranged(df, order)
+    key, own = F.struct(*keys), unused(df, "__own")
+    before = F.lag(key).over(r.window)
+    # a range's first row starts no run of its own accord; whether it does is seen from the range before
+    rows = r.together().withColumn(own, F.when(F.row_number().over(r.window) == 1, 0).when(key.eqNullSafe(before), 0).otherwise(1))
+    rows = rows.withColumn(own, F.sum(own).over(r.window.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(r.range).agg(F.max(own).alias("__inner"), F.min_by(key, r.place).alias("__head"), F.max_by(key, r.place).alias("__tail"))
+    line = Window.orderBy(r.range)
+    ends = ends.withColumn("__new", F.when(F.lag("__tail").over(line).eqNullSafe(F.col("__head")) & (F.row_number().over(line) > 1), 0).otherwise(1))
+    inner_before = F.coalesce(F.sum("__inner").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ends.select(r.range, (inner_before + F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0))).alias("__base"))  # a row a range
+    return rows.join(F.broadcast(base), r.range).select(*df.columns, (F.col(own) + F.col("__base")).alias(name))

@@ -467,3 +467,26 @@ def fluent_sequence(spark, sf):
         .keep_columns("p_partkey", "label")
         .result()
     )
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts, CAST(round(coalesce(value, 0) * 100) AS BIGINT) AS cents FROM events),
+    r AS (SELECT event_id, ts, cents, CAST(sum(cents) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM e),
+    k AS (SELECT event_id, total, unnest(generate_series((total - cents) // 500000 + 1, total // 500000)) AS mark FROM r)
+    SELECT event_id, mark, total, count(*) OVER (ORDER BY mark ROWS UNBOUNDED PRECEDING) AS nth FROM k"""
+)
+def explode_whole(spark, sf):
+    """A row for each full 5000 that the values of all events, in time, have come to; one event may complete several."""
+    rows = table(spark, sf, "events").select("event_id", "ts", F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long").alias("cents"))
+
+    def made(before, frames):
+        for frame in frames:
+            totals = before + frame["cents"].cumsum()
+            first, last = (totals - frame["cents"]) // 500_000, totals // 500_000
+            out = frame.loc[last > first, ["event_id"]].assign(mark=[list(range(a + 1, b + 1)) for a, b in zip(first, last) if b > a], total=totals[last > first])
+            out = out.explode("mark").astype({"mark": "int64"})
+            yield out.assign(nth=out["mark"])
+            before = int(totals.iloc[-1])
+
+    scan = GEN.Scan(0, lambda frames: sum(int(f["cents"].sum()) for f in frames), lambda a, b: a + b, made)
+    return GEN.explode_whole(rows, ["ts", "event_id"], scan, "event_id long, mark long, total long, nth long")
