@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import RESERVED, fail_when, require, require_columns
-from .ordering import with_previous
+from ..workspace import unused
+from .ordering import numbered, running_sum, with_previous
 
 KEEP, REMOVE, FAIL = "keep", "remove", "fail"
 
@@ -197,22 +198,36 @@ def expand(
     condition: Column | None = None,
     best: Column | None = None,
     no_match: Action = Action(),
+    between: tuple[Column, Column | None, Column | None] | None = None,
 ) -> DataFrame:
     """left with `columns` of one right row of its key: of those that meet `condition` (over left's columns and
     right's as __r_<column>) the one with the largest `best`.  identity names columns that tell left's rows apart.
 
-    Only identity, keys and candidates are grouped, by a maximum with partial
+    between = (value, low, high): of the right rows whose value (over __r_<column>) is in low to high (over left's columns;
+    None or null: open) the one with the largest `best` (over __r_<column>), found by an interval index: a left row meets
+    2 * INDEX_BIN rows and two nodes a level at most, however many its range holds.  See _best_in_range.
+
+    With a free condition, only identity, keys and candidates are grouped, by a maximum with partial
     aggregation, so a key with very many candidates is not gathered; but each left
     row meets every candidate of its key.  Where the condition is that a value of
     the right row is at most one of the left row, and the nearest is best, use as_of."""
     keys = _pairs(keys)
     columns = columns if isinstance(columns, dict) else {c: c for c in columns}
+    if between is not None:
+        require(condition is None, "a range or a condition, not both")
+        chosen = _best_in_range(left, right, keys, columns, identity, between, best if best is not None else F.lit(1))
+        return _expanded(left, chosen, keys, columns, identity, no_match)
     held = _prepared(right, keys, {c: c for c in right.columns}, None)
     met = left.join(held, _condition(keys), "inner")
     met = met.where(condition) if condition is not None else met
     ids = [F.col(c).alias(f"__i{i}") for i, c in enumerate(identity)]
     row = F.struct(*[F.col(f"__r_{s}").alias(f"__r_{t}") for t, s in columns.items()], F.lit(True).alias("__hit"))
     chosen = met.groupBy(*ids).agg(F.max_by(row, best if best is not None else F.lit(1)).alias("__row")).select(*[f"__i{i}" for i in range(len(identity))], "__row.*")
+    return _expanded(left, chosen, keys, columns, identity, no_match)
+
+
+def _expanded(left: DataFrame, chosen: DataFrame, keys: dict[str, str], columns: dict[str, str], identity: list[str], no_match: Action) -> DataFrame:
+    """left with the chosen rows' columns."""
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__i{i}")) for i, c in enumerate(identity)])
     rows = left.join(chosen, same, "left")
     rows = _copied(rows, columns, left.columns)
@@ -220,6 +235,65 @@ def expand(
     return rows.drop(*_added({}, columns), *[f"__i{i}" for i in range(len(identity))])
 
 
+#: Right rows in a bin of the interval index.
+INDEX_BIN = 32
+
+
+def _best_in_range(left: DataFrame, right: DataFrame, keys: dict[str, str], columns: dict[str, str], identity: list[str], between: tuple, best: Column) -> DataFrame:
+    """(__i<i>, __r_<column>, __hit): for each left row, the right row with the largest `best` in its range.
+
+    Right rows are numbered along one order of key and value and cut into bins of INDEX_BIN; a bin, and each aligned
+    pair, pair of pairs and so on of bins, keeps its best row.  A left row's range is a run of numbers, found by sorting
+    its ends among the right rows; it is covered by the rows at both ends and at most two nodes a level.  Runs lie inside
+    a key, so nodes need no key, and neither a hot key nor a wide range is gathered."""
+    value, low, high = between
+    places = [f"__k{i}" for i in range(len(keys))]
+    held = lookup(right, list(keys.values()))
+    held = held.select(*[F.col(k).alias(p) for k, p in zip(keys.values(), places)], *[F.col(c).alias(f"__r_{c}") for c in right.columns]).withColumn("__v", value).where("__v is not null")
+    row = F.struct(*[F.col(f"__r_{s}").alias(f"__r_{t}") for t, s in columns.items()], F.lit(True).alias("__hit"))
+    rows = numbered(held.select(*places, "__v", best.alias("__best"), row.alias("__row")), [*places, "__v"], "__at").select("__at", "__best", "__row")
+
+    # how many right rows stand before either end of each range
+    kind = held.schema["__v"].dataType
+    marks = held.select(*places, F.lit(0).alias("__open"), "__v", F.lit(1).alias("__side"), F.lit(None).cast(left.select(*identity).schema).alias("__id"))
+    ends = []
+    for side, end in ((0, low), (2, high)):
+        end = F.lit(None).cast(kind) if end is None else end.cast(kind)
+        beyond = F.when(end.isNull(), 1).otherwise(0) if side else F.lit(0)  # nulls come first, which is right for an open low end
+        ends.append(left.select(*[F.col(k).alias(p) for k, p in zip(keys, places)], beyond.alias("__open"), end.alias("__v"), F.lit(side).alias("__side"), F.struct(*identity).alias("__id")))
+    line = running_sum(marks.unionByName(ends[0]).unionByName(ends[1]), F.when(F.col("__side") == 1, 1).otherwise(0), [*places, "__open", "__v", "__side"], "__n")
+    runs = line.where("__side <> 1").groupBy("__id").agg(F.max(F.when(F.col("__side") == 0, F.col("__n"))).alias("a"), F.max(F.when(F.col("__side") == 2, F.col("__n"))).alias("b")).where("a < b")
+
+    # the run [a, b) as parts of bins and as nodes: level, number, and for parts the run's ends
+    probe = lambda level, node, a=F.lit(None).cast("long"), b=F.lit(None).cast("long"): F.struct(F.lit(level).cast("int").alias("level") if isinstance(level, int) else level.cast("int").alias("level"), node.cast("long").alias("node"), a.alias("from"), b.alias("to"))
+    runs = runs.withColumns({"p": F.floor((F.col("a") + INDEX_BIN - 1) / INDEX_BIN), "q": F.floor(F.col("b") / INDEX_BIN)})
+    a, b, p, q = (F.col(c) for c in "abpq")
+    parts = F.when(p > q, F.array(probe(-1, q, a, b))).otherwise(
+        F.concat(F.when(a < p * INDEX_BIN, F.array(probe(-1, p - 1, a, p * INDEX_BIN))).otherwise(F.array().cast("array<struct<level:int,node:bigint,from:bigint,to:bigint>>")), F.when(q * INDEX_BIN < b, F.array(probe(-1, q, q * INDEX_BIN, b))).otherwise(F.array().cast("array<struct<level:int,node:bigint,from:bigint,to:bigint>>")))
+    )
+
+    def nodes_of(level: Column) -> Column:
+        first, end = F.ceil(p / F.pow(F.lit(2), level)).cast("long"), F.floor(q / F.pow(F.lit(2), level)).cast("long")
+        inside = first < end
+        left_node, right_node = F.when(inside & (first % 2 == 1), probe(level, first)), F.when(inside & (end % 2 == 1), probe(level, end - 1))
+        return F.filter(F.array(left_node, right_node), lambda x: x.isNotNull())
+
+    # above the level at which a run of bins is empty there is nothing to take
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(q - p, F.lit(1)).cast("double"))).cast("int") + 1, F.lit(1)))
+    probes = runs.select("__id", F.explode(F.concat(parts, F.when(p < q, F.flatten(F.transform(levels, nodes_of))).otherwise(F.array().cast("array<struct<level:int,node:bigint,from:bigint,to:bigint>>")))).alias("x")).select("__id", "x.*")
+
+    binned = rows.withColumn("node", F.floor(F.col("__at") / INDEX_BIN))
+    bins = binned.groupBy("node").agg(F.max_by(F.struct("__best", "__row"), "__best").alias("x"))
+    top = F.sequence(F.lit(0), F.lit(40))
+    wanted = probes.where("level >= 0").agg(F.max("level").alias("top"))  # one number
+    lifted = bins.join(F.broadcast(wanted)).select(F.explode(F.filter(top, lambda k: k <= F.col("top"))).alias("level"), F.col("node").alias("bin"), "x")
+    nodes = lifted.groupBy("level", F.floor(F.col("bin") / F.pow(F.lit(2), F.col("level"))).cast("long").alias("node")).agg(F.max_by("x", F.col("x.__best")).alias("x"))
+    items = binned.select(F.lit(-1).alias("level"), "node", "__at", "__best", "__row").union(nodes.select("level", "node", F.lit(None).cast("long"), "x.__best", "x.__row"))
+    met = probes.join(items, ["level", "node"]).where(F.col("__at").isNull() | ((F.col("__at") >= F.col("from")) & (F.col("__at") < F.col("to"))))
+    chosen = met.groupBy("__id").agg(F.max_by("__row", "__best").alias("__row"))
+    return chosen.select(*[F.col(f"__id.{c}").alias(f"__i{i}") for i, c in enumerate(identity)], "__row.*")
+
+
 def _copied(rows: DataFrame, columns: dict[str, str], own: list[str]) -> DataFrame:
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     for t in columns:

@@ -331,6 +331,19 @@ def expand_by_condition(spark, sf):
     return L.expand(table(spark, sf, "nation"), table(spark, sf, "supplier"), {"n_nationkey": "s_nationkey"}, ["s_suppkey"], ["n_nationkey"], condition, F.struct("__r_s_acctbal", "__r_s_suppkey")).select("n_nationkey", "s_suppkey")
 
 
+@query(
+    """SELECT o_orderkey, p_partkey, p_name FROM (SELECT o_orderkey, p_partkey, p_name, row_number() OVER (PARTITION BY o_orderkey ORDER BY p_name DESC NULLS LAST, p_partkey DESC) AS rn
+    FROM (SELECT *, o_orderkey % 3 + 1 AS band FROM orders) LEFT JOIN part ON p_size % 3 + 1 = band AND p_retailprice * 100 BETWEEN o_totalprice * 0.5 AND o_totalprice * 1.5) WHERE rn = 1"""
+)
+def expand_in_range(spark, sf):
+    """The last part, by name, of an order's band among those of half to one and a half times its price."""
+    left = table(spark, sf, "orders").withColumn("band", (F.col("o_orderkey") % 3 + 1).cast("int"))
+    right = table(spark, sf, "part").withColumn("band", (F.col("p_size") % 3 + 1).cast("int"))
+    between = (F.col("__r_p_retailprice") * 100, F.col("o_totalprice") * 0.5, F.col("o_totalprice") * 1.5)
+    out = L.expand(left, right, ["band"], ["p_partkey", "p_name"], ["o_orderkey"], best=F.struct("__r_p_name", "__r_p_partkey"), between=between)
+    return out.select("o_orderkey", "p_partkey", "p_name")
+
+
 @query("SELECT e.event_id, p.event_id AS purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def as_of_lookup(spark, sf):
     events = table(spark, sf, "events")
@@ -399,6 +412,17 @@ def delimited_roundtrip(spark, sf):
     return D.read_delimited(spark, path, columns).drop(ERRORS)
 
 
+@query("SELECT p_partkey, replace(p_name, ' ', chr(13) || chr(10)) AS p_name, CASE WHEN p_partkey % 3 < 2 THEN p_type END AS p_type, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS p_size FROM part")
+def delimited_own_headers(spark, sf):
+    """Files of three column orders, with line breaks and quotes in their cells, read as one."""
+    parts, paths = table(spark, sf, "part").withColumn("p_name", F.replace("p_name", F.lit(" "), F.lit("\n"))), []
+    for i, columns in enumerate((["p_partkey", "p_name", "p_type"], ["p_type", "p_size", "p_partkey", "p_name"], ["p_name", "p_size", "p_partkey"])):
+        paths.append(work_path(spark, "delimited"))
+        sinks.write_delimited(parts.where(F.col("p_partkey") % 3 == i).select(*columns), paths[-1])
+    columns = [D.ReadColumn("p_partkey", C.to_whole, options={"kind": "long"}), D.ReadColumn("p_name"), D.ReadColumn("p_type"), D.ReadColumn("p_size", C.to_whole, options={"kind": "int"})]
+    return D.read_delimited(spark, paths, columns).drop(ERRORS)
+
+
 @query("SELECT * FROM supplier")
 def binary_roundtrip(spark, sf):
     path = work_path(spark, "binary")

@@ -21,7 +21,8 @@ def _texts(df: DataFrame, columns: dict[str, str | Column] | None) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, columns: dict[str, str | Column] | None = None, delimiter: str = ";", header: bool = True, if_exists: str = "fail", partition_by: dict[str, Column] | None = None) -> DataFrame:
-    """Delimited files below path: null is an empty cell, an empty text a pair of quotes; returns df.
+    """Delimited files below path: null is an empty cell, an empty text a pair of quotes; a line feed in a
+    cell is written as the file's line break; returns df.
 
     columns: title to source column or expression.  partition_by: a folder for each value."""
     require(if_exists in _MODES, f"no such mode: {if_exists}")
