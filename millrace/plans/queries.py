@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..errors import ERRORS, TAG
@@ -15,6 +17,7 @@ from ..operators import sets as S
 from ..sinks import files as sinks
 from ..sources import delimited as D
 from ..sources import json as J
+from ..sources import merge as M
 from ..sources import tables as T
 from ..streaming import streams
 from .registry import query, table, work_path
@@ -385,6 +388,40 @@ def _new_customers(spark, sf):
     return table(spark, sf, "customer").where(key % 5 == 0).select((key + F.when(key % 10 == 0, 1000000).otherwise(0)).alias("c_custkey"), F.concat("c_name", F.lit("!")).alias("c_name"), (-F.col("c_acctbal")).alias("c_acctbal"))
 
 
+@query(
+    """WITH s AS (SELECT c_custkey + CASE WHEN c_custkey % 8 = 0 THEN 1000000 ELSE 0 END AS c_custkey, c_name || '?' AS c_name, c_acctbal * 2 AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 0.8 * (SELECT max(c_custkey) FROM customer))
+    SELECT t.c_custkey, CASE WHEN s.c_custkey IS NOT NULL AND t.c_acctbal < 5000 THEN s.c_name WHEN s.c_custkey IS NULL AND t.c_acctbal > 9000 THEN 'gone?' ELSE t.c_name END AS c_name,
+      CASE WHEN s.c_custkey IS NOT NULL AND t.c_acctbal < 5000 THEN t.c_acctbal + s.c_acctbal ELSE t.c_acctbal END AS c_acctbal, t.c_mktsegment
+    FROM customer t LEFT JOIN s ON s.c_custkey = t.c_custkey
+    WHERE NOT (s.c_custkey IS NOT NULL AND t.c_acctbal < 0) AND NOT (s.c_custkey IS NULL AND t.c_acctbal < -500)
+    UNION ALL SELECT c_custkey, c_name, 0, c_mktsegment FROM s WHERE c_custkey NOT IN (SELECT c_custkey FROM customer) AND c_mktsegment = 'BUILDING'
+    UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM s WHERE c_custkey NOT IN (SELECT c_custkey FROM customer) AND c_mktsegment <> 'BUILDING' AND c_acctbal > 0"""
+)
+def merge_clauses(spark, sf):
+    """A partitioned table after a merge of six conditional clauses; the result is written before it goes."""
+    jobs, name = T.Tables(spark), f"merged_{uuid.uuid4().hex[:12]}"
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    key, most = F.col("c_custkey"), rows.agg(F.max("c_custkey")).first()[0]
+    source = rows.where((key % 4 == 0) & (key < 0.8 * most)).select((key + F.when(key % 8 == 0, 1000000).otherwise(0)).alias("c_custkey"), F.concat("c_name", F.lit("?")).alias("c_name"), (F.col("c_acctbal") * 2).alias("c_acctbal"), "c_mktsegment")
+    balance = F.col("t.c_acctbal")
+    clauses = [
+        M.Clause("matched", "delete", balance < 0),
+        M.Clause("matched", "update", balance < 5000, {"c_name": F.col("s.c_name"), "c_acctbal": balance + F.col("s.c_acctbal")}),
+        M.Clause("missing_in_source", "delete", balance < -500),
+        M.Clause("missing_in_source", "update", balance > 9000, {"c_name": F.lit("gone?")}),
+        M.Clause("missing_in_target", "insert", F.col("s.c_mktsegment") == "BUILDING", {"c_custkey": F.col("s.c_custkey"), "c_name": F.col("s.c_name"), "c_acctbal": F.lit(0), "c_mktsegment": F.col("s.c_mktsegment")}),
+        M.Clause("missing_in_target", "insert", F.col("s.c_acctbal") > 0),
+    ]
+    try:
+        rows.write.partitionBy("c_mktsegment").saveAsTable(name)
+        jobs.merge_into(name, source, ["c_custkey"], clauses)
+        path = work_path(spark, "merged")
+        sinks.write_table_files(spark.table(name), path)
+    finally:
+        jobs.drop(name)
+    return spark.read.parquet(path)
+
+
 @query(
     f"""SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.c_name ELSE a.c_name END AS c_name, CASE WHEN b.c_custkey IS NOT NULL THEN b.c_acctbal ELSE a.c_acctbal END AS c_acctbal, a.c_mktsegment
     FROM customer a FULL JOIN {_NEW} b ON a.c_custkey = b.c_custkey"""

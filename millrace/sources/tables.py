@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StepFailed, require, require_columns
+from ..sinks.journal import Journal, rename_table, replacing
+from .merge import Clause, delete_from, merge_into
 
 _procedures: dict[str, Callable[..., DataFrame]] = {}
 
@@ -86,37 +88,54 @@ class Tables:
         self.spark = spark
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """name holds rows; they are staged first, so rows may read name, and a failure at any point leaves it as it was."""
+        """name holds rows, laid out and with properties as before; they are staged first, so rows may read name, and a failure at any point leaves it as it was."""
         stage = f"{name}__stage_{uuid.uuid4().hex[:12]}"
         try:
-            rows.write.saveAsTable(stage)
+            self._stage(rows, stage, name)
             self.publish({name: stage})
         finally:
             self.drop(stage)
 
+    def _stage(self, rows: DataFrame, stage: str, name: str) -> None:
+        """Writes rows as a table like the table `name`, if that exists: format, partitions, buckets, comment and properties."""
+        if not self.spark.catalog.tableExists(name):
+            rows.write.saveAsTable(stage)
+            return
+        facts = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        columns = self.spark.catalog.listColumns(name)
+        writer, parts, buckets = rows.write.format(facts["Provider"]), [c.name for c in columns if c.isPartition], [c.name for c in columns if c.isBucket]
+        writer = writer.partitionBy(*parts) if parts else writer
+        (writer.bucketBy(int(facts["Num Buckets"]), *buckets) if buckets else writer).saveAsTable(stage)
+        text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if own := [r for r in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()]:
+            self.spark.sql(f"ALTER TABLE {stage} SET TBLPROPERTIES ({', '.join(f'{text(r.key)} = {text(r.value)}' for r in own)})")
+        if facts.get("Comment"):
+            self.spark.sql(f"COMMENT ON TABLE {stage} IS {text(facts['Comment'])}")
+
     def publish(self, stages: dict[str, str]) -> None:
         """Each table becomes what its stage is, by renaming.  Replaced tables are kept until all are
-        published; if one cannot be, they are put back and the stages are stages again."""
-        kept: dict[str, str] = {}
-        done: dict[str, str] = {}
+        published; if one cannot be, they are put back and the stages are stages again.  What is done is in a journal
+        first, so that a new driver can carry it through (`Journal.recover`) if this one dies."""
+        journal = Journal(self.spark)
+        steps = [replacing(name, stage) for name, stage in stages.items()]
+        entry = journal.prepare([("drop_table", s) for s in stages.values()])
+        journal.commit(entry, steps)
+        done: list[tuple[str, str]] = []
         try:
-            for name, stage in stages.items():
-                if self.spark.catalog.tableExists(name):
-                    old = f"{name}__old_{uuid.uuid4().hex[:12]}"
-                    self._rename(name, old)
-                    kept[name] = old
-                self._rename(stage, name)
-                done[name] = stage
+            for _, name, stage, old in steps:
+                for a, b in ([(name, old)] if self.spark.catalog.tableExists(name) else []) + [(stage, name)]:
+                    self._rename(a, b)
+                    done.append((a, b))
         except Exception:
-            for name, stage in done.items():
-                self._rename(name, stage)
-            for name, old in kept.items():
-                self._rename(old, name)
+            for a, b in reversed(done):
+                self._rename(b, a)
+            journal.close(entry)
             raise
-        self.drop(*kept.values())
+        self.drop(*[old for _, _, _, old in steps])
+        journal.close(entry)
 
     def _rename(self, old: str, new: str) -> None:
-        self.spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+        rename_table(self.spark, old, new)
 
     def create(self, name: str, rows: DataFrame) -> None:
         rows.write.saveAsTable(name)
@@ -138,7 +157,7 @@ class Tables:
         self.spark.table(source).limit(0).write.saveAsTable(target)
 
     def delete(self, name: str, where: str) -> None:
-        self.replace(name, self.spark.table(name).where(f"NOT coalesce({where}, false)"))
+        delete_from(self.spark, name, where)
 
     def truncate(self, name: str) -> None:
         self.spark.sql(f"TRUNCATE TABLE {name}")
@@ -158,7 +177,15 @@ class Tables:
         return self.spark.sql(sql, args=parameters or None)
 
     def merge(self, name: str, source: DataFrame, keys: list[str], mode: str = "upsert", when_missing: str = "keep") -> None:
-        self.replace(name, merged(self.spark.table(name), source, keys, mode, when_missing))
+        """As `merged`, in place: only files that hold changed rows are written anew."""
+        require(mode in ("upsert", "update_only", "insert_only"), f"no such mode: {mode}")
+        clauses = [Clause("matched", "update")] if mode != "insert_only" else []
+        clauses += [Clause("missing_in_target", "insert")] if mode != "update_only" else []
+        self.merge_into(name, source, keys, clauses + ([Clause("missing_in_source", "delete")] if when_missing == "delete" else []))
+
+    def merge_into(self, name: str, source: DataFrame, keys: list[str], clauses: list[Clause]) -> None:
+        """Merges by ordered clauses, each with its condition; see `merge.merge_into`."""
+        merge_into(self.spark, name, source, keys, clauses)
 
     def require_key(self, name: str, keys: list[str]) -> None:
         """Fails if a key is null or not unique."""
@@ -174,7 +201,7 @@ class Tables:
         finals = {}
         try:
             for name, make in targets.items():
-                make().write.saveAsTable(stages[name])
+                self._stage(make(), stages[name], name)
             for name, stage in stages.items():
                 staged = self.spark.table(stage)
                 if skip_empty and staged.limit(1).count() == 0:
@@ -182,7 +209,7 @@ class Tables:
                 finals[name] = stage
                 if final := (finalize or {}).get(name):
                     finals[name] = f"{stage}_final"
-                    final(self.spark.table(name), staged).write.saveAsTable(finals[name])
+                    self._stage(final(self.spark.table(name), staged), finals[name], name)
             for turn in range(retries + 1):
                 try:
                     self.publish(finals)
