@@ -19,7 +19,7 @@ from ..sources import delimited as D
 from ..sources import json as J
 from ..sources import merge as M
 from ..sources import tables as T
-from ..streaming import streams
+from ..streaming import push, streams
 from .registry import query, table, work_path
 from .sequence import Seq
 
@@ -551,3 +551,16 @@ def explode_whole(spark, sf):
 
     scan = GEN.Scan(0, lambda frames: sum(int(f["cents"].sum()) for f in frames), lambda a, b: a + b, made)
     return GEN.explode_whole(rows, ["ts", "event_id"], scan, "event_id long, mark long, total long, nth long")
+
+
+@query("SELECT event_id, ts, user_id, event_type, value FROM events")
+def push_source(spark, sf):
+    """All events through a push source, in two runs: the second goes on from the first one's checkpoint."""
+    spool, out, state = (work_path(spark, x) for x in ("spool", "pushed", "state"))
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    for odd in (0, 1):
+        push.push_table(events.where(F.col("event_id") % 2 == odd), spool, 4)
+        stream = push.without_heartbeats(push.listen(spark, spool, events.schema, max_segments=3))
+        for _ in range(2):
+            streams.collect_available(stream, "append", out, state)
+    return spark.read.schema(events.schema).parquet(out)
