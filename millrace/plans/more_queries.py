@@ -25,6 +25,7 @@ from ..sources import tables as T
 from ..sources import workbooks
 from ..streaming import streams
 from .flow import Flow
+from .queries import in_slices
 from .registry import query, table, work_path
 from .sequence import Seq
 
@@ -370,8 +371,11 @@ def streaming_sink(spark, sf):
 
 @query("SELECT user_id, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY 1")
 def streaming_update(spark, sf):
-    stream = streams.listen_files(spark, f"{sf}/event[s].parquet", table(spark, sf, "events").schema)
-    return streams.collect_available(streams.aggregate(stream, ["user_id"], [A.count("n")]), "update", work_path(spark, "update"), work_path(spark, "update-state"), ["user_id"])
+    """Counts by user, updated by several micro-batches: the events come in slices."""
+    out, checkpoint = work_path(spark, "update"), work_path(spark, "update-state")
+    for stream in in_slices(spark, sf, F.col("event_id"), 3):
+        rows = streams.collect_available(streams.aggregate(stream, ["user_id"], [A.count("n")]), "update", out, checkpoint, ["user_id"])
+    return rows
 
 
 # flows and table jobs

@@ -19,7 +19,7 @@ from ..sources import delimited as D
 from ..sources import json as J
 from ..sources import merge as M
 from ..sources import tables as T
-from ..streaming import push, streams
+from ..streaming import push, state, streams
 from .registry import query, table, work_path
 from .sequence import Seq
 
@@ -564,3 +564,38 @@ def push_source(spark, sf):
         for _ in range(2):
             streams.collect_available(stream, "append", out, state)
     return spark.read.schema(events.schema).parquet(out)
+
+
+def in_slices(spark, sf, arrival, slices=4):
+    """The events in slices by arrival, each to be written before a stream goes on, and where to."""
+    events = table(spark, sf, "events").withColumn("__arrival", arrival.cast("double"))
+    low, high = events.agg(F.min("__arrival"), F.max("__arrival")).first()
+    number = F.least(F.floor((F.col("__arrival") - low) / (high - low) * slices), F.lit(slices - 1))
+    path = work_path(spark, "arrived")
+    for i in range(slices):
+        events.where(number == i).drop("__arrival").write.mode("append").parquet(path)
+        yield streams.listen_files(spark, path, events.drop("__arrival").schema)
+
+
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, coalesce(value, 0) AS v FROM events),
+    m AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 43200000 THEN 0 ELSE 1 END AS s FROM e),
+    r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS g FROM m)
+    SELECT user_id, min(ms) AS start_ms, max(ms) AS last_ms, count(*) AS rows, round(sum(v), 2) AS total FROM r GROUP BY user_id, g HAVING max(ms) + 43200000 <= (SELECT max(ms) FROM e) - 7200000"""
+)
+def streaming_sessions(spark, sf):
+    """Users' sessions that are over, by state with timers; events come up to two hours late, in four runs of one stream."""
+    out, checkpoint = work_path(spark, "sessions"), work_path(spark, "state")
+    late = F.pmod(F.hash("event_id"), F.lit(7000))
+    for stream in in_slices(spark, sf, F.unix_seconds(F.col("ts").cast("timestamp")) + late):
+        rows = state.collect_available(state.sessions(stream, ["user_id"], "ts", 43_200_000, "value", "2 hours"), out, checkpoint)
+    return rows.withColumn("total", F.round("total", 2))
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events")
+def streaming_numbers(spark, sf):
+    """Each user's events numbered by state, over four runs of one stream."""
+    out, checkpoint = work_path(spark, "numbers"), work_path(spark, "state")
+    for stream in in_slices(spark, sf, F.col("event_id")):
+        rows = state.collect_available(state.numbered(stream.select("event_id", "user_id"), ["user_id"], "n", "event_id"), out, checkpoint)
+    return rows
