@@ -6,12 +6,17 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import StepFailed
 
 
+def last_value(column: str, order: list[str]) -> Column:
+    """The column's value in the last row by `order`; null without rows."""
+    return F.max_by(column, F.struct(*order))
+
+
 @dataclass
 class State:
     failures: list[BaseException] = field(default_factory=list)
@@ -50,7 +55,18 @@ class Flow:
 
     def set_from(self, name: str, df: Callable[[], DataFrame], column: str, order: list[str]) -> Flow:
         """The column's value in the last row by `order`; null without rows."""
-        return self.run(lambda: df().agg(F.max_by(column, F.struct(*order))).first()[0], name)
+        return self.run(lambda: df().agg(last_value(column, order)).first()[0], name)
+
+    def write_observed(self, df: Callable[[], DataFrame], sink: Callable[[DataFrame], Any], values: dict[str, Column]) -> Flow:
+        """Runs a sequence into a sink; each name becomes the value of its aggregate over the rows written, seen in passing: there is no
+        second pass.  last_value is such an aggregate.  The sink must go through the rows; if it does so in parts, only one counts."""
+
+        def step() -> None:
+            seen = Observation()
+            sink(df().observe(seen, *[v.alias(n) for n, v in values.items()]))
+            self.values.update(seen.get)
+
+        return self.run(step)
 
     def increment(self, name: str, by: int = 1) -> Flow:
         return self.run(lambda: self.values.get(name, 0) + by, name)

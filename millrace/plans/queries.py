@@ -14,12 +14,14 @@ from ..operators import filters as FIL
 from ..operators import generate as GEN
 from ..operators import lookup as L
 from ..operators import sets as S
+from ..sinks import database
 from ..sinks import files as sinks
 from ..sources import delimited as D
 from ..sources import json as J
 from ..sources import merge as M
 from ..sources import tables as T
 from ..streaming import push, state, streams
+from .flow import Flow, last_value
 from .registry import query, table, work_path
 from .sequence import Seq
 
@@ -599,3 +601,33 @@ def streaming_numbers(spark, sf):
     for stream in in_slices(spark, sf, F.col("event_id")):
         rows = state.collect_available(state.numbered(stream.select("event_id", "user_id"), ["user_id"], "n", "event_id"), out, checkpoint)
     return rows
+
+
+@query(
+    """SELECT count(*) AS orders, count(*) FILTER (WHERE o_totalprice > 100000) AS dear, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS cents, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS last FROM orders WHERE o_orderstatus = 'O'"""
+)
+def observed_write(spark, sf):
+    """Counters and the last value of a written table, taken while it is written."""
+    path = work_path(spark, "observed")
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'O'")
+    counters = {"orders": F.count(F.lit(1)), "dear": F.count_if(F.col("o_totalprice") > 100_000), "cents": F.sum(F.round(F.col("o_totalprice") * 100).cast("long")), "last": last_value("o_orderkey", ["o_totalprice", "o_orderkey"])}
+    values = Flow().write_observed(lambda: orders, lambda df: sinks.write_table_files(df, path), counters).raise_failures().values
+    # the counters go beside the rows they count, and both are read back
+    marks = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("orders"))
+    return marks.select("orders", *[F.lit(values[n]).cast("long").alias(n) for n in ("dear", "cents", "last")])
+
+
+@query(
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, c_name, c_acctbal * 2 FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 0"""
+)
+def database_load(spark, sf):
+    """Customers loaded into a database table, then merged with others, batch by batch.
+
+    The database is one within a local session's process; with the URL of a server the same calls serve a cluster."""
+    db = database.Database(spark, f"jdbc:derby:memory:load{uuid.uuid4().hex};create=true")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    key = F.col("c_custkey")
+    database.load(db, rows.where(key % 2 == 0), "customers", "first", batch_rows=4000)
+    database.load(db, rows.where(key % 3 == 0).withColumn("c_acctbal", F.col("c_acctbal") * 2), "customers", "second", ["c_custkey"], batch_rows=4000)
+    return db.read("customers")
