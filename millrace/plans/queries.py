@@ -16,6 +16,7 @@ from ..operators import lookup as L
 from ..operators import sets as S
 from ..sinks import database
 from ..sinks import files as sinks
+from ..sinks.partitioned import write_dynamic
 from ..sources import delimited as D
 from ..sources import json as J
 from ..sources import merge as M
@@ -631,3 +632,15 @@ def database_load(spark, sf):
     database.load(db, rows.where(key % 2 == 0), "customers", "first", batch_rows=4000)
     database.load(db, rows.where(key % 3 == 0).withColumn("c_acctbal", F.col("c_acctbal") * 2), "customers", "second", ["c_custkey"], batch_rows=4000)
     return db.read("customers")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS urgency FROM orders"""
+)
+def partitions_of_own_columns(spark, sf):
+    """Orders written with other columns for each status, and all files read again as one table."""
+    path = work_path(spark, "own_columns")
+    layouts = {"F": {"price": "o_totalprice", "o_orderkey": "o_orderkey", "customer": "o_custkey"}, "P": {"urgency": "o_orderpriority", "o_orderkey": "o_orderkey"}}
+    write_dynamic(table(spark, sf, "orders"), path, F.col("o_orderstatus"), layouts, {"o_orderkey": "o_orderkey", "price": "o_totalprice"})
+    columns = [D.ReadColumn("o_orderkey", C.to_whole, options={"kind": "long"}), D.ReadColumn("price", C.to_real), D.ReadColumn("customer"), D.ReadColumn("urgency")]
+    return D.read_delimited(spark, f"{path}/*", columns).drop(ERRORS)
