@@ -7,9 +7,11 @@ execution.  What happens to rows with and without matches is said by actions.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,27 @@ class Action:
     set: dict[str, Column] = field(default_factory=dict)
 
 
+#: Names that lookups use beside a caller's columns.
+_OWN = re.compile(r"__(hit|more|outcome|row|left|right|at|side|last|first|place|([kit]\d+)|r_.*)")
+
+
+def _clash_free(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator on a left side whose columns of such names go by others meanwhile."""
+
+    @wraps(operator)
+    def run(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str], *args, **options) -> DataFrame:
+        clashing = [c for c in left.columns if _OWN.fullmatch(c.lower())]
+        if not clashing:
+            return operator(left, right, keys, *args, **options)
+        mark = uuid.uuid4().hex[:8]
+        names = {c: f"own_{mark}_{i}" for i, c in enumerate(clashing)}
+        renamed = {names.get(k, k): v for k, v in _pairs(keys).items()}
+        out = operator(left.withColumnsRenamed(names), right, renamed, *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def _pairs(keys: list[str] | dict[str, str]) -> dict[str, str]:
     return keys if isinstance(keys, dict) else {k: k for k in keys}
 
@@ -73,6 +96,7 @@ def _acted(rows: DataFrame, state: Column, action: Action, code: str, keys: dict
     return rows
 
 
+@_clash_free
 def join(
     left: DataFrame,
     right: DataFrame,
@@ -117,9 +141,10 @@ def join(
         made = make(lambda c: F.col(f"__r_{c}"))
         rows = rows.withColumn(target, F.when(hit, made).otherwise(F.col(target)) if target in rows.columns else F.when(hit, made))
     rows = _acted(rows, ~hit, no_match, "NoMatch", keys)
-    return rows.drop(*_added(keys, columns), "__more")
+    return rows.drop(*_added(keys, columns), *(["__more"] if match_limit is not None and too_many else []))
 
 
+@_clash_free
 def key_test(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str], match: Action = Action(), no_match: Action = Action(), match_where: Column | None = None, first_by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Acts on rows by whether their key is in right: removal is a semi or anti join.
 
@@ -162,6 +187,7 @@ def equal_all_columns(left: DataFrame, right: DataFrame, ignoring: list[str] = (
     return lambda l, r: reduce(lambda a, b: a & b, [value(l, left, c).eqNullSafe(value(r, right, c)) for c in names])
 
 
+@_clash_free
 def compare_rows(
     left: DataFrame,
     right: DataFrame,
@@ -189,6 +215,7 @@ def compare_rows(
     return rows.drop(*_added(keys, right.columns), "__outcome")
 
 
+@_clash_free
 def expand(
     left: DataFrame,
     right: DataFrame,
@@ -302,6 +329,7 @@ def _copied(rows: DataFrame, columns: dict[str, str], own: list[str]) -> DataFra
     return rows
 
 
+@_clash_free
 def as_of(
     left: DataFrame,
     right: DataFrame,

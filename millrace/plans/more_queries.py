@@ -32,9 +32,11 @@ from .sequence import Seq
 # sources
 
 
-@query("SELECT * FROM (VALUES (1, 'a', TRUE), (2, NULL, FALSE), (NULL, 'c', NULL)) AS v(k, name, flag)")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS status, o_orderstatus = 'O' AS pending FROM orders")
 def literal_rows(spark, sf):
-    return spark.createDataFrame([(1, "a", True), (2, None, False), (None, "c", None)], "k int, name string, flag boolean")
+    """Orders with the names of their states, which are literal rows."""
+    states = spark.createDataFrame([("F", "filled", False), ("O", "open", True), ("P", None, False), (None, "c", None)], "state string, status string, pending boolean")
+    return L.join(table(spark, sf, "orders"), states, {"o_orderstatus": "state"}, ["status", "pending"]).select("o_orderkey", "status", "pending")
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS balance, c_name AS name, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, 0 AS errors FROM customer")
@@ -64,11 +66,12 @@ def json_array_elements(spark, sf):
     return J.read_json_array(spark, path, "n_nationkey int, n_name string").select(F.col("value.n_nationkey").alias("k"), F.col("value.n_name").alias("name"))
 
 
-@query("SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_regionkey < 2")
+@query("SELECT r_regionkey AS k, r_name AS name FROM region")
 def json_documents(spark, sf):
+    """A document for each region, a file for each document."""
     path = work_path(spark, "json-document")
-    for key in (0, 1):
-        sinks.write_text(table(spark, sf, "region").where(F.col("r_regionkey") == key).select(F.to_json(F.struct("*")).alias("text")).coalesce(1), "text", path, "continue")
+    texts = table(spark, sf, "region").select("r_regionkey", F.to_json(F.struct("*")).alias("text"))
+    texts.repartitionById(5, F.col("r_regionkey").cast("int")).select("text").write.text(path)
     return J.read_json_documents(spark, path, "r_regionkey int, r_name string").where("value IS NOT NULL").select(F.col("value.r_regionkey").alias("k"), F.col("value.r_name").alias("name"))
 
 
@@ -94,9 +97,16 @@ def procedure_rows(spark, sf):
     return T.read_procedure(spark, "customers_of_segment", sf=sf, segment="MACHINERY").select("c_custkey", "c_name")
 
 
-@query("SELECT CAST(i AS BIGINT) AS k, CAST(i % 4 AS INTEGER) AS part FROM range(0, 1000) AS r(i)")
+@query(
+    """SELECT s.month, count(o_orderkey) AS orders, CAST(sum(CASE WHEN s.month % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows_of_part_0
+    FROM (SELECT unnest(range(1, 13)) AS month) s LEFT JOIN orders ON month(o_orderdate) = s.month GROUP BY 1"""
+)
 def custom_source(spark, sf):
-    return custom.read_custom(spark, lambda part: ((k, part) for k in range(part, 1000, 4)), "k long, part int", 4, "numbers_in_parts")
+    """Orders by month; the months come from a source of one's own, in four parts."""
+    months = custom.read_custom(spark, lambda part: ((k, part) for k in range(1, 13) if k % 4 == part), "month long, part int", 4, "months_in_parts")
+    orders = table(spark, sf, "orders").select(F.month("o_orderdate").cast("long").alias("of"), "o_orderkey")
+    rows = months.join(orders, F.col("month") == F.col("of"), "left")
+    return rows.groupBy("month").agg(F.count("o_orderkey").alias("orders"), F.count_if(F.col("part") == 0).alias("rows_of_part_0"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation")

@@ -229,3 +229,16 @@ def test_reduced_groups_are_altered(spark):
     assert got(A.reduce_groups(df, ["g"], ["o"], set={"v": F.sum("v"), "n": F.count(F.lit(1))})) == [(1, 1, 30, 2), (2, 3, 30, 1)]
     assert got(A.reduce_groups(df, ["g"], ["o"], where=F.col("v") > 10, set={"v": F.sum("v")}, keep_single=True)) == [(1, 2, 30), (2, 3, 30)]
     assert got(A.reduce_groups(df, ["g"], ["o"], where=F.col("v") > 100, keep_single=True)) == [(2, 3, 30)]
+
+
+def test_lookups_keep_columns_of_their_own_names(spark):
+    left = spark.createDataFrame([(1, "a", "b", "c", "d"), (2, "e", "f", "g", "h")], "k int, __hit string, __more string, __outcome string, __r_v string")
+    right = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    own = lambda df: sorted(tuple(r)[:5] for r in df.select("k", "__hit", "__more", "__outcome", "__r_v").distinct().collect())
+    want = sorted(tuple(r) for r in left.collect())
+    assert own(L.join(left, right, ["k"], ["v"], match_limit=1, match_order=["v"], too_many=L.Action(set={"n": F.lit(1)}))) == want
+    assert own(L.join(left, right, ["k"], ["v"], L.Action(set={"n": F.lit(1)}))) == want
+    assert own(L.compare_rows(left, right, ["k"], L.equal_columns(["k"]), ["v"], status="s")) == want
+    assert own(L.key_test(left, right, ["k"], match=L.Action(set={"n": F.lit(1)}))) == want
+    assert own(L.as_of(left, right, ["k"], "k", "k", {"v": "v"}, ties=["v"])) == want
+    assert own(L.expand(left, right, ["k"], ["v"], ["k"], best=F.col("__r_v"))) == want
