@@ -20,6 +20,14 @@ def apply_where(df: DataFrame, condition: Column, operator: Callable[[DataFrame]
     return chosen.unionByName(df.where(~_true(condition)), allowMissingColumns=True)
 
 
+def set_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """Columns of the rows that meet the condition get new values, all from the row as it was; the others stay.
+
+    What changes values only needs one pass, unlike apply_where, which takes any operator and reads its input for either side."""
+    met = _true(condition)
+    return df.withColumns({c: F.when(met, v).otherwise(F.col(c) if c in df.columns else F.lit(None)) for c, v in values.items()})
+
+
 def apply_where_tag(df: DataFrame, condition: Callable[[Column], Column], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return apply_where(df, condition(F.col(TAG)), operator)
 

@@ -87,6 +87,19 @@ def query_with_parameters(spark, sf):
     return T.read_query(spark, "SELECT o_orderstatus, count(*) AS n FROM queried_orders WHERE o_totalprice > :least GROUP BY 1", least=100000)
 
 
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey IN (1, 2, 3, 5, 8, 13, 21, 34) AND o_orderstatus IN ('F', 'O')")
+def query_with_list_parameters(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("listed_orders")
+    sql = "SELECT o_orderkey, o_orderpriority FROM listed_orders WHERE o_orderkey IN (:ids) AND o_orderstatus IN (:states)"
+    return T.read_query(spark, sql, ids=[1, 2, 3, 5, 8, 13, 21, 34], states=["F", "O"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_totalprice * 0.9 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_totalprice > 200000 THEN o_totalprice END AS before FROM orders")
+def set_where(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return FIL.set_where(rows, F.col("o_totalprice") > 200_000, {"o_totalprice": F.col("o_totalprice") * 0.9, "before": F.col("o_totalprice")})
+
+
 @T.procedure
 def customers_of_segment(spark, sf: str, segment: str):
     return table(spark, sf, "customer").where(F.col("c_mktsegment") == segment)

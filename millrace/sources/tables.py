@@ -6,6 +6,7 @@ in a table of their own and then moved over, so a failed job leaves the target.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -40,7 +41,16 @@ def read_table(spark: SparkSession, name: str, columns: list[str] | None = None,
 
 
 def read_query(spark: SparkSession, sql: str, **parameters) -> DataFrame:
-    return spark.sql(sql, args=parameters or None)
+    """A query with named parameters; a list stands for its values, separated by commas, as in IN (:ids), an empty one for a null."""
+    args: dict[str, object] = {}
+    for name, value in parameters.items():
+        if isinstance(value, (list, tuple)):
+            marks = [f"{name}__{i}" for i in range(len(value))]
+            sql = re.sub(rf":{name}\b", ", ".join(f":{m}" for m in marks) or "NULL", sql)
+            args.update(zip(marks, value))
+        else:
+            args[name] = value
+    return spark.sql(sql, args=args or None)
 
 
 def read_jdbc(spark: SparkSession, url: str, table_or_query: str, partition_column: str | None = None, bounds: tuple | None = None, partitions: int | None = None, **options) -> DataFrame:

@@ -75,23 +75,66 @@ def list_sheets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _cells(spark, path).select("file", "sheet", "name", "visible").distinct()
 
 
-def read_workbook(spark: SparkSession, path: str | list[str], sheet: str | int = 0, header_rows: list[int] = (1,), join_headers: str = " ", first_row: int | None = None, first_column: int = 1, unmerge: bool = True, trim: bool = True) -> DataFrame:
-    """Rows of one sheet as texts: header cells of several rows joined, empty texts null, repeated names numbered, empty rows left out."""
-    cells = _cells(spark, path, unmerge).where(F.col("name") == sheet if isinstance(sheet, str) else F.col("sheet") == sheet)
-    heads = cells.where(F.col("row").isin(*header_rows)).orderBy("file", "row").limit(len(header_rows)).collect()
-    if not heads:
-        raise StepFailed(f"no sheet {sheet} with a header")
+def _names(heads: list[list[str | None]], first: int, mode: str, separator: str) -> list[str]:
+    """Column names of a sheet from its header rows; "" for a column without one.  A repeated name gets the next free number."""
     names: list[str] = []
-    for c in range(first_column - 1, max(len(h.cells) for h in heads)):
-        parts = [h.cells[c].strip() for h in heads if c < len(h.cells) and h.cells[c] and h.cells[c].strip()]
-        name = join_headers.join(dict.fromkeys(parts))
-        if name:
-            same = sum(1 for n in names if n and (n.lower() == name.lower() or re.fullmatch(re.escape(name.lower()) + r"\d+", n.lower())))
-            name = f"{name}{same + 1}" if same else name
-        names.append(name)
-    require(any(names), "the header is empty")
-    value = lambda i: F.get("cells", F.lit(i))
-    clean = lambda c: F.nullif(F.trim(c) if trim else c, F.lit(""))
-    start = first_row or max(header_rows) + 1
-    rows = cells.where((F.col("row") >= start) & F.exists("cells", lambda x: F.coalesce(F.trim(x) != "", F.lit(False))))
-    return rows.select("file", "row", *[clean(value(first_column - 1 + i)).alias(n) for i, n in enumerate(names) if n])
+    for c in range(first, max(map(len, heads), default=0)):
+        parts = [h[c].strip() for h in heads if c < len(h) and h[c] and h[c].strip()]
+        name = "" if not parts else {"join": separator.join(dict.fromkeys(parts)), "first": parts[0], "last": parts[-1]}[mode]
+        taken, i, distinct = {n.lower() for n in names}, 1, name
+        while name and distinct.lower() in taken:
+            distinct, i = f"{name}{i}", i + 1
+        names.append(distinct)
+    return names
+
+
+def read_workbook(
+    spark: SparkSession,
+    path: str | list[str],
+    sheet: str | int = 0,
+    header_rows: list[int] = (1,),
+    join_headers: str = " ",
+    first_row: int | None = None,
+    first_column: int = 1,
+    unmerge: bool = True,
+    trim: bool = True,
+    header_mode: str = "join",
+    file_column: str = "file",
+    row_column: str = "row",
+) -> DataFrame:
+    """Rows of one sheet as texts; empty texts are null, rows without a text are left out.
+
+    Each file goes by its own header, a column that it lacks is null.  header_mode: of a column's cells in several header
+    rows, join all (equal ones once), or take the first or the last.  A file that lacks the sheet, or its header, gives
+    no rows; if all do, that is an error.  A pass over the files finds the columns of all."""
+    require(header_mode in ("join", "first", "last"), f"no such header mode: {header_mode}")
+    start, first, heads = first_row or max(header_rows) + 1, first_column - 1, set(header_rows)
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = [r for r in sheet_rows(content.as_py(), unmerge) if (r[1] == sheet if isinstance(sheet, str) else r[0] == sheet)]
+                names = _names([r[4] for r in own if r[3] in heads], first, header_mode, join_headers)
+                if not any(names):
+                    continue
+                made = [(0, names)]  # the header itself, for the columns of all files
+                for _, _, _, number, cells in own:
+                    values = [((c.strip() if trim else c) or None) if c is not None else None for c in cells]
+                    if number >= start and any(v and v.strip() for v in values):
+                        made.append((number, (values[first:] + [None] * len(names))[: len(names)]))
+                columns = [pa.array([file] * len(made)), pa.array([n for n, _ in made], pa.int32()), pa.array([names] * len(made), pa.list_(pa.string())), pa.array([c for _, c in made], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "row", "names", "cells"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = files.mapInArrow(rows, "file string, row int, names array<string>, cells array<string>")
+    headers = found.where("row = 0").select("file", "names").groupBy("names").agg(F.min("file").alias("file")).collect()  # a row for each header that differs
+    names: dict[str, str] = {}
+    for header in sorted(headers, key=lambda h: h.file):
+        for n in header["names"]:
+            if n:
+                names.setdefault(n.lower(), n)
+    if not names:
+        raise StepFailed(f"no sheet {sheet} with a header")
+    at = lambda n: F.get("cells", (F.array_position(F.transform("names", F.lower), n) - 1).cast("int"))
+    place = lambda n: F.when(F.array_contains(F.transform("names", F.lower), n), at(n))
+    return found.where("row > 0").select(F.col("file").alias(file_column), F.col("row").alias(row_column), *[place(low).alias(n) for low, n in names.items()])

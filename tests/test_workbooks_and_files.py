@@ -6,6 +6,7 @@ import people
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.errors import InvalidParameter
 from millrace.sinks import workbooks as out
 from millrace.sources import file_jobs as jobs
 from millrace.sources import workbooks as W
@@ -22,6 +23,32 @@ def test_workbook_round_trip(spark, tmp_path):
         W.read_workbook(spark, f"{tmp_path}/160.xlsx", "Other")
 
 
+def book(path, rows, sheet="S"):
+    import pandas as pd
+
+    path.write_bytes(out.workbook_bytes(pd.DataFrame(rows[1:], columns=rows[0], dtype=object), sheet))
+
+
+def test_each_workbook_has_its_own_header(spark, tmp_path):
+    book(tmp_path / "a.xlsx", [["id", "name"], ["1", " A "], ["", None], ["2", "B"]])
+    book(tmp_path / "b.xlsx", [["NAME", "extra", "id"], ["C", "x", "3"]])
+    book(tmp_path / "c.xlsx", [["other"], ["y"]], "T")
+    rows = W.read_workbook(spark, f"{tmp_path}/*.xlsx", "S")
+    assert rows.columns == ["file", "row", "id", "name", "extra"]
+    assert sorted((r.id, r.name, r.extra) for r in rows.collect()) == [("1", "A", None), ("2", "B", None), ("3", "C", "x")]
+
+
+def test_header_modes_and_repeated_names(spark, tmp_path):
+    book(tmp_path / "a.xlsx", [["a", "a", "b", "A"], ["x", "a", "", "z"], ["1", "2", "3", "4"]])
+    read = lambda mode: W.read_workbook(spark, f"{tmp_path}/a.xlsx", header_rows=[1, 2], header_mode=mode, join_headers="/")
+    assert read("join").columns[2:] == ["a/x", "a", "b", "A/z"]
+    assert read("first").columns[2:] == ["a", "a1", "b", "A2"]
+    assert read("last").columns[2:] == ["x", "a", "b", "z"]
+    assert tuple(read("last").first())[2:] == ("1", "2", "3", "4")
+    with pytest.raises(InvalidParameter):
+        read("none")
+
+
 def test_file_jobs(tmp_path):
     jobs.create_folder(str(tmp_path / "a/b"))
     (tmp_path / "x").write_text("1")
