@@ -12,7 +12,8 @@ Each id takes as many bits as the vocabulary's largest id needs.  A file has
 so that any span of ids is found by its block's offset and unpacked with
 vectorised numpy.  Files are written in ascending document order by tasks that
 each hold a range of documents, are bounded in size and appear whole under
-their final name; a repeated task writes the same names.
+their final name. An attempt of a task writes names of its own, so that two attempts
+never meet; the manifest names the files of the attempt that counted, and `tidy` deletes the others.
 
 Defined results: null text is an empty document of one end id; null doc_ids
 come first; repeated rows are documents of their own, ordered by text; other
@@ -111,16 +112,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, text: s
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         part, file, held, numbers, size = TaskContext.get().partitionId(), 0, [], [], 0
-        last = np.array([end], dtype="<u4").tobytes()
+        last, attempt = np.array([end], dtype="<u4").tobytes(), uuid.uuid4().hex
 
         def close() -> pa.RecordBatch:
             nonlocal file, held, numbers, size
-            path = f"{root}/part-{part:05d}-{file:05d}.bits"
-            draft = f"{root}/_draft-{uuid.uuid4().hex}"
+            path, draft = f"{root}/part-{part:05d}-{file:05d}-{attempt}.bits", f"{root}/_draft-{attempt}"
             with store.open_output_stream(draft) as out:
                 out.write(file_bytes(numbers, held, bits))
-            if store.get_file_info(path).type != fs.FileType.NotFound:
-                store.delete_file(path)
             store.move(draft, path)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], ["part", "file", "path", "docs", "ids"])
             file, held, numbers, size = file + 1, [], [], 0
@@ -143,6 +141,16 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, text: s
     return rows.mapInArrow(files, _MANIFEST)
 
 
+def tidy(manifest: DataFrame, folder: str) -> int:
+    """Deletes files that a written manifest does not name, left by attempts that did not count; returns their number.  The names, a row a file, pass through the driver."""
+    store, root = fs.FileSystem.from_uri(folder)
+    named = {r.path for r in manifest.select("path").collect()}
+    left = [f.path for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path not in named]
+    for path in left:
+        store.delete_file(path)
+    return len(left)
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, ids) of every document in the files of a manifest; start counts the ids of all files and documents before it."""
     # the running sum is over one row a file
