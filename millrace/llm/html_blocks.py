@@ -105,10 +105,24 @@ class _Reader(HTMLParser):
             self.linked += len(data.strip())
 
 
+#: An element whose content is no markup, up to its end tag; any other tag; a comment by the standard's rules: <!--> and <!---> are whole,
+#: --> and --!> end one, and so does the end of the page.
+_MARKUP = re.compile(
+    r"""(<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?=</\2[\s/>]|\Z)|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>)|<!--(?:-?>|.*?(?:--!?>|\Z))""",
+    re.IGNORECASE | re.DOTALL,
+)
+
+
+def without_comments(html: str) -> str:
+    """The page without its comments; what looks like one in an attribute, a script or a style stays."""
+    return _MARKUP.sub(lambda m: m[1] or "", html) if "<!--" in html else html
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
-    """Blocks in page order, white space collapsed, character references decoded."""
+    """Blocks in page order, white space collapsed, character references decoded; comments, closed or not, leave nothing."""
     if not html:
         return []
+    html = without_comments(html)
     reader = _Reader()
     try:
         reader.feed(html)
