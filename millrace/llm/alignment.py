@@ -191,8 +191,9 @@ def _places(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Block:
     """Bitmaps of the documents of a block."""
 
-    def __init__(self):
+    def __init__(self, most_links: int = BLOCK_LINKS):
         self.docs = self.links = 0
+        self.most_links = most_links
         self.held: list[np.ndarray] = []
 
     def add(self, links: bytes) -> int:
@@ -207,7 +208,7 @@ class _Block:
 
     @property
     def full(self) -> bool:
-        return self.docs == BLOCK_DOCS or self.links >= BLOCK_LINKS
+        return self.docs == BLOCK_DOCS or self.links >= self.most_links
 
     def planes(self) -> Iterator[tuple[np.ndarray, int, np.ndarray, pa.Array]]:
         """(pairs, plane, popcounts, bitmaps): plane 0 for the documents that hold a pair, plane k for bit k - 1 of its further links there."""
@@ -226,14 +227,14 @@ class _Block:
                 plane += 1
 
 
-def _aligned(path_a: str, path_b: str, text_at: int, kept: list[str], digest: bool):
+def _aligned(path_a: str, path_b: str, text_at: int, kept: list[str], digest: bool, block_links: int):
     """Document rows and, behind each block, its bitmap rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         work = aligner(path_a, path_b)
-        number, block = TaskContext.get().partitionId() << 32, _Block()
+        number, block = TaskContext.get().partitionId() << 32, _Block(block_links)
         kinds: list[pa.DataType] = []
 
         def bitmap_rows() -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,7 @@ def _aligned(path_a: str, path_b: str, text_at: int, kept: list[str], digest: bo
             while done < len(texts):
                 size, some = 0, []
                 for text in texts[done:]:
-                    if some and (size > BLOCK_LINKS or block.docs + len(some) == BLOCK_DOCS):
+                    if some and (size > block_links or block.docs + len(some) == BLOCK_DOCS):
                         break
                     some.append(text)
                     size += len(text or "")
@@ -273,7 +274,7 @@ def _aligned(path_a: str, path_b: str, text_at: int, kept: list[str], digest: bo
                 done += rows
                 if block.full:
                     yield from bitmap_rows()
-                    number, block = number + 1, _Block()
+                    number, block = number + 1, _Block(block_links)
         if block.docs:
             yield from bitmap_rows()
 
@@ -307,8 +308,8 @@ class Alignment:
     told apart by their place in the input, so null and repeated ids, ties and repeated rows are rows of their own; of
     the input only the columns `keep` come along, so that no other column can clash.  Very long texts are aligned whole."""
 
-    def __init__(self, docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False):
-        """digest: `groups` holds the SHA-256 of the groups' text in place of the text."""
+    def __init__(self, docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False, block_links: int = BLOCK_LINKS):
+        """digest: `groups` holds the SHA-256 of the groups' text in place of the text.  block_links: links after which a block ends early."""
         spark = docs.sparkSession
         text_batches(spark)
         self.scratch, self.keep = Scratch(spark, "alignment"), list(keep)
@@ -316,7 +317,7 @@ class Alignment:
         rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, self.names)], F.col(text).alias("_text"))
         kept = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in self.names)
         schema = f"{kept}, {_DOC}, {_MAP}" if kept else f"{_DOC}, {_MAP}"
-        self.rows = self.scratch.save(rows.mapInArrow(_aligned(path_a, path_b, len(keep), self.names, digest), schema))
+        self.rows = self.scratch.save(rows.mapInArrow(_aligned(path_a, path_b, len(keep), self.names, digest, block_links), schema))
         self.bitmaps = self.rows.where(F.col("kind") == BITS).select("pair", "block", "plane", "n", "bits")
 
     def pairs(self) -> DataFrame:
