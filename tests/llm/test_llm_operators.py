@@ -365,6 +365,26 @@ def test_token_files_round_trip(spark, monkeypatch):
     assert scratch.save(token_files.write(docs(spark, []), scratch.path("none"), path)).count() == 0
 
 
+def test_attempts_of_a_task_write_files_of_their_own(spark):
+    table, scratch, path = docs(spark, ["a b", "c"]), Scratch(spark, "t"), public_tokenizers.path(token_files.VOCABULARY)
+    folder = scratch.path("files")
+    first, second = (scratch.save(token_files.write(table, folder, path)) for _ in range(2))
+    names = [{r.path for r in m.collect()} for m in (first, second)]
+    assert not names[0] & names[1]
+    assert token_files.tidy(second, folder) == len(names[0]) and token_files.tidy(second, folder) == 0
+    assert token_files.read(second, folder).count() == 2
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_remembered_chunks_equal_whole_texts(name, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_CHUNKS", 40)
+    library, own, r = Tokenizer.from_file(public_tokenizers.path(name)), encoding.ChunkEncoder(public_tokenizers.path(name)), random.Random(3)
+    words = ["the", "|", "a|b", "don't", "Été", "x" * 300, "12", "%%%", "漢字", "\r", "<|endoftext|>", "\u00a0"]
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice(["", " ", "  ", "\n", "\t "]) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # packing
 
 
@@ -726,3 +746,20 @@ def test_licences_against_brute_force(spark):
     assert licences.scan(docs(spark, [])).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>a</p><!--><p>b</p>", ["a", "b"]),
+        ("<p>a</p><!---><p>b</p>", ["a", "b"]),
+        ("<p>a</p><!-- ad slot 12 --!><p>b</p>", ["a", "b"]),
+        ("<p>a</p><!-- <b>hidden</b> --><p>b</p>", ["a", "b"]),
+        ("<p>a<!-- open <b>c", ["a"]),
+        ("<p title='<!--'>a</p><p>b</p>", ["a", "b"]),
+        ("<script>var x = '<!--';</script><p>b</p>", ["b"]),
+        ("<p>it's <!-- one --> here's</p>", ["it's here's"]),
+    ],
+)
+def test_comments_leave_nothing(html, want):
+    assert [b.text for b in html_extract.leaf_blocks(html)] == want

@@ -152,11 +152,10 @@ class Slow:
         return out, count, docs, best
 
 
-def test_alignment_of_odd_texts(spark, monkeypatch):
+def test_alignment_of_odd_texts(spark):
     rows = list(enumerate(odd_texts(3, 1500, 50))) + [(1, None), (None, "abc the"), (5, ""), (7, " "), (7, "   "), (7, "a\n\n b \n"), (7, "a\n\n b \n"), (8, "the of " * 6000)]
     table = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, pair string, block string").repartition(3)
-    monkeypatch.setattr(alignment, "BLOCK_LINKS", 3000)  # several blocks a task
-    done = alignment.Alignment(table, BYTE, PIECE)
+    done = alignment.Alignment(table, BYTE, PIECE, block_links=3000)  # several blocks a task
     want, count, docs, best = Slow().all(rows)
     assert Counter(tuple(r) for r in done.documents().collect()) == want
     pairs = {(r.a, r.b): (r.docs, r.links, r.best) for r in done.pairs().collect()}
