@@ -85,7 +85,8 @@ def explode_whole(df: DataFrame, order: list[str], scan: Scan, schema: str, keep
 
     kinds = f"`{place}` long, `{state}` binary"
     states = r.together().sortWithinPartitions(place).mapInPandas(summed, kinds)
-    carried = states.coalesce(1).sortWithinPartitions(place).mapInPandas(scanned, kinds)  # a row a range, for its first row
+    # a row a range, for its first row; shuffled, as a coalesce would have the one task sum up all ranges itself
+    carried = states.repartition(1).sortWithinPartitions(place).mapInPandas(scanned, kinds)
     rows = r.together().join(F.broadcast(carried), place, "left")
     out = rows.sortWithinPartitions(place).mapInPandas(made, schema)
     return df.unionByName(out, allowMissingColumns=True) if keep_original else out

@@ -94,3 +94,19 @@ def test_scan_of_nothing_and_without_order(spark):
     assert GEN.explode_whole(df, ["id"], scan, "id long, x long").count() == 0
     with pytest.raises(InvalidParameter):
         GEN.explode_whole(df, [], scan, "id long, x long")
+
+
+def test_the_task_that_carries_states_does_not_sum_up_the_ranges(spark):
+    """A range is summed up by a task of its own; else the one task would hold the sorts of all ranges."""
+    from pyspark import TaskContext
+
+    def summary(frames):
+        return {TaskContext.get().partitionId(): sum(len(f) for f in frames)}
+
+    def rows(before, frames):
+        n = sum(len(f) for f in frames)
+        yield pd.DataFrame({"id": [n], "x": [len(before)]})
+
+    scan = GEN.Scan({}, summary, lambda a, b: {**a, **b}, rows)
+    out = GEN.explode_whole(spark.range(4000).repartition(4), ["id"], scan, "id long, x long", ranges=4).collect()
+    assert sorted(r.x for r in out) == [0, 1, 2, 3] and sum(r.id for r in out) == 4000
