@@ -1,6 +1,6 @@
-"""Custom state per key, with timers and time to live: numbers, first rows, sessions.
+"""State per key, with timers and time to live: numbers, first rows, sessions.
 
-Spark's transformWithState keeps the state in RocksDB, partitioned by key and saved with every batch.  What a
+Numbers and first rows are kept by transformWithState, sessions by session windows; the state is in RocksDB, partitioned by key and saved with every batch.  What a
 key holds is bounded: a number, a time, or its open sessions; timers and time to live let go of keys that are idle.
 Rows of one key are gone through one after another, as they must be; keys are spread over tasks.
 """
@@ -123,62 +123,19 @@ def first_of_key(stream: DataFrame, keys: list[str], event_time: str, keep_ms: i
     return rows.groupBy(*keys).transformWithState(_Firsts(stream.columns, keep_ms), rows.drop(AT).schema, "append", "eventTime")
 
 
-class _Sessions(StatefulProcessor):
-    """Open sessions of a key: (start, last, rows, total), apart by the gap at least."""
-
-    def __init__(self, keys: list[str], value: str | None, gap_ms: int):
-        self.keys, self.value, self.gap_ms = keys, value, gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.open = handle, handle.getListState("open", "start long, last long, rows long, total double")
-        self.make = Row(*self.keys, "start_ms", "last_ms", "rows", "total")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        found = [(*x,) for x in self.open.get()]
-        before = {last for _, last, _, _ in found}
-        for row in rows:
-            at = row[AT]
-            value = row[self.value] if self.value else None
-            found.append((at, at, 1, float(value or 0)))
-        found.sort()
-        joined: list[list] = []
-        for start, last, n, total in found:
-            if joined and start - joined[-1][1] < self.gap_ms:
-                joined[-1][1:] = [max(joined[-1][1], last), joined[-1][2] + n, joined[-1][3] + total]
-            else:
-                joined.append([start, last, n, total])
-        after = {s[1] for s in joined}
-        for last in before - after:
-            self.handle.deleteTimer(last + self.gap_ms)
-        for last in after - before:
-            self.handle.registerTimer(last + self.gap_ms)
-        self.open.put([tuple(s) for s in joined])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        over, due = [], expiredTimerInfo.getExpiryTimeInMs() - self.gap_ms
-        rest = []
-        for s in self.open.get():
-            (over if s[1] <= due else rest).append((*s,))
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        for s in over:
-            yield self.make(*key, *s)
-
-    def close(self) -> None:
-        pass
-
-
 def sessions(stream: DataFrame, keys: list[str], event_time: str, gap_ms: int, value: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """(keys, start_ms, last_ms, rows, total) of each session: rows of a key less than gap_ms apart, with the sum of `value`, null as zero.
 
     A session is emitted, and its state let go of, once the watermark has passed its last row by the gap; rows may come in
-    any order within the delay, and may join sessions.  Rows without an event time are left out."""
+    any order within the delay, and may join sessions.  Rows without an event time are left out.
+
+    Spark's session windows keep the open sessions, a few numbers each, and join them in the JVM."""
     require_columns(stream, *keys, event_time)
     require(gap_ms > 0, "sessions need a gap")
-    kinds = [stream.schema[k] for k in keys]
-    schema = T.StructType([*kinds, *[T.StructField(n, T.LongType()) for n in ("start_ms", "last_ms", "rows")], T.StructField("total", T.DoubleType())])
-    rows = _timed(stream, event_time, delay)
-    return rows.groupBy(*keys).transformWithState(_Sessions(list(keys), value, gap_ms), schema, "append", "eventTime")
+    at = F.col(event_time).cast("timestamp")
+    rows = _timed(stream.withColumn(event_time, F.timestamp_millis(F.unix_millis(at))), event_time, delay)
+    # a row at the very end of a window still joins it; times are whole milliseconds
+    window = F.session_window(event_time, f"{gap_ms * 1000 - 1} microseconds").alias("__window")
+    total = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) if value else F.lit(0.0)
+    made = rows.groupBy(*keys, window).agg(F.min(AT).alias("start_ms"), F.max(AT).alias("last_ms"), F.count(F.lit(1)).alias("rows"), F.sum(total).alias("total"))
+    return made.select(*keys, "start_ms", "last_ms", "rows", "total")

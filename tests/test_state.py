@@ -75,3 +75,13 @@ def test_the_session_keeps_its_state_store(spark):
     assert spark.conf.get(state._PROVIDER) == before
     with pytest.raises(InvalidParameter):
         state.sessions(spark.range(1).withColumn("t", F.current_timestamp()), ["id"], "t", 0)
+
+
+def test_sessions_end_at_the_gap_and_not_before(spark, tmp_path):
+    batches = [[("a", 1, 0, 1.0), ("a", 2, 300, None), ("b", 3, 0, 2.0), ("b", 4, 299, 3.0)], [("z", 5, 9000, None)]]
+    for stream in arriving(spark, str(tmp_path / "in"), batches):
+        made = state.sessions(stream, ["k"], "t", 300_000, "v")
+        out = state.collect_available(made, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted((x.k, (x.last_ms - x.start_ms) // 1000, x.rows, x.total) for x in out.collect()) == [("a", 0, 1, 0.0), ("a", 0, 1, 1.0), ("b", 299, 2, 5.0)]
+    # the rows of a key are joined in the JVM, not one by one in Python
+    assert "TransformWithState" not in made._jdf.queryExecution().analyzed().toString()
