@@ -114,6 +114,23 @@ def unused_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Words of 64 row numbers that are broadcast at most (67 million rows and more); their count is known before.
+MOST_WORDS = 1 << 20
+
+
+def among(scratch: Scratch, df: DataFrame, row: str, numbers: DataFrame, keep: bool = True, most: int = MOST_WORDS) -> DataFrame:
+    """df's rows whose number in the column `row` is among those of a one-column table, or with keep=False is not.
+
+    Numbers are of monotonically_increasing_id, whose values lie close together: a word stands for 64 of them.  So the
+    words go to the rows, which keep their place, and no text is shuffled; beyond `most` words how is left to Spark."""
+    n, word, bits = (unused_name(df, x) for x in ("_n", "_word", "_bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(n).bitwiseAND(63).cast("int"))
+    words = scratch.save(numbers.toDF(n).groupBy(F.shiftright(n, 6).alias(word)).agg(F.bit_or(bit).alias(bits)))
+    words = F.broadcast(words) if words.count() <= most else words
+    hit = F.coalesce(F.getbit(bits, F.col(row).bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return df.join(words, F.shiftright(row, 6) == F.col(word), "left").where(hit if keep else ~hit).drop(word, bits)
+
+
 def ranked(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], rank: str) -> DataFrame:
     """df with a gapless rank from 0 within each key, in the given order.
 

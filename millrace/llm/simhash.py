@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import typing
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, text_batches, unused_name
+from .common import Scratch, among, connected_components, text_batches, unused_name
 
 SEED = 42
 #: Fingerprints that a shard holds on average, and the most shards the driver's tree has.
@@ -47,6 +47,10 @@ _PIECE = 1 << 16
 COMMON_FROM, MOST_COMMON = 8192, 200_000
 #: Texts of a shingle's group that are compared with as many others in one task.
 GROUP = 256
+#: Candidate pairs that are confirmed at once, without rounds.
+FEW_PAIRS = 1 << 16
+#: Bits of a sketch of all shingles of a text: each toggles one.
+SKETCH = 1024
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -280,17 +284,17 @@ def _shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 
 def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Pairs (u < v) of parts' rows (r, c: a long, its component) of different components that hold all whose texts
-    (r, t, binary) have a shingle Jaccard of at least `similarity`.
+    """Pairs (u < v, with their components a and b and the shingles `shared` among those looked at) of parts' rows
+    (r, c: a long, its component) of different components that hold all whose texts (r, t, binary) have a shingle Jaccard of at least `similarity`.
 
     Under a fixed order of all shingles, two such texts of m and n shingles
     share one among the first m - ceil(m * similarity) + 1 and n - ceil(n *
     similarity) + 1 of theirs.  Common shingles come last in the order.  Texts
     are grouped by each shingle; only groups of several components are compared,
     block of texts against block, by lengths and by what can still be shared
-    behind the shingle.
+    behind the shingle.  What is left is held against sketches of all shingles, which rule out most pairs that are not
+    similar, and none that is, before any text is looked at.
     """
-    spark = texts.sparkSession
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -305,7 +309,7 @@ def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, sim
 
     def firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found, sizes = [], []
+            found, sizes, sketches = [], [], []
             for t in batch.column(1):
                 own = _shingle_set(t.as_py(), shingle).view("i8")
                 often = np.zeros(len(own), dtype="i8")
@@ -314,13 +318,16 @@ def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, sim
                     often = np.where(known[at] == own, times[at], 0)
                 found.append(own[np.lexsort((own, often))[: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1]])
                 sizes.append(len(own))
+                toggled = np.bincount(own.view("u8") % np.uint64(SKETCH), minlength=SKETCH) % 2
+                sketches.append(np.packbits(toggled.astype(bool), bitorder="little").view("<i8"))
             ends = np.cumsum([0, *map(len, found)], dtype="i4")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.array([], dtype="i8")])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], ["r", "n", "own"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype="i4") * (SKETCH // 64)), pa.array(np.concatenate([*sketches, np.array([], dtype="i8")])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists, bits], ["r", "n", "own", "sketch"])
 
-    prefixes = texts.select(F.col("r").alias("_r"), "t").mapInArrow(firsts, "_r long, n int, own array<long>")
-    posted = prefixes.join(parts, F.col("_r") == F.col("r")).select(F.posexplode("own").alias("i", "s"), "r", "c", "n")
-    posted = scratch.save(posted)
+    prefixes = texts.select(F.col("r").alias("_r"), "t").mapInArrow(firsts, "_r long, n int, own array<long>, sketch array<long>")
+    listed = scratch.save(prefixes.join(parts, F.col("_r") == F.col("r")).select("r", "c", "n", "own", "sketch"))
+    posted = listed.select(F.posexplode("own").alias("i", "s"), "r", "c", "n")
     groups = posted.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
     groups = groups.select(F.col("s").alias("shared"), F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
     several = scratch.save(posted.join(groups, F.col("s") == F.col("shared")).select("s", "r", "c", "n", "i", "blocks"))
@@ -330,11 +337,50 @@ def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, sim
     long_enough = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-6
     enough_left = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) >= (F.col("n1") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
     found = one.join(two, ["s", "x", "y"]).where((F.col("r1") < F.col("r2")) & (F.col("c1") != F.col("c2")) & long_enough & enough_left)
-    found = scratch.save(found.select(F.col("r1").alias("u"), F.col("r2").alias("v")).distinct())
-    scratch.drop(posted, several)
+    found = found.select(F.col("r1").alias("u"), F.col("r2").alias("v"), F.col("c1").alias("a"), F.col("c2").alias("b"))
+    found = found.groupBy("u", "v", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    for node, n, bits in (("u", "n1", "x"), ("v", "n2", "y")):
+        found = found.join(listed.select(F.col("r").alias(node), F.col("n").alias(n), F.col("sketch").alias(bits)), node)
+    # a shingle that only one text has toggles one bit, so the bits that differ are at most those shingles
+    differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, b: a + b)
+    found = found.where(differing <= (F.col("n1") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    found = scratch.save(found.select("u", "v", "a", "b", "shared"))
+    scratch.drop(listed, several)
     return found
 
 
+def linked_parts(scratch: Scratch, parts: DataFrame, pairs: DataFrame, links: Callable[[DataFrame], DataFrame], each: int = 1, most: int = 64) -> DataFrame:
+    """parts (r, c: its component) after all of `pairs` (u, v, a, b: their components, shared) that `links` confirms; it
+    returns (a, b) of those.
+
+    Pairs go in rounds: of each component the likeliest first, four times as many in the next round, at last all.
+    A pair whose ends have come together meanwhile says nothing new and is dropped, so a group of near copies costs
+    a few pairs a text, not all of them; every other pair is looked at.
+    """
+    left = pairs.count()
+    while left:
+        chosen = pairs
+        if each < most and left > FEW_PAIRS:
+            likeliest = F.max(F.struct("shared", "u", "v")).alias("x")
+            ends = pairs.withColumn("end", F.explode(F.array("a", "b")))
+            best = ends.groupBy("end", F.pmod(F.xxhash64("u", "v"), F.lit(each))).agg(likeliest).select("x.u", "x.v").distinct()
+            chosen = scratch.save(pairs.join(best, ["u", "v"]))
+        found = connected_components(scratch, links(chosen))
+        found = scratch.save(found)
+        parts = scratch.save(parts.join(found, F.col("c") == F.col("node"), "left").select("r", F.coalesce("component", "c").alias("c")))
+        if chosen is pairs:
+            break
+        rest = pairs.join(chosen.select("u", "v"), ["u", "v"], "left_anti")
+        for end in ("a", "b"):
+            named = found.select(F.col("node").alias(end), F.col("component").alias("_to"))
+            rest = rest.join(named, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        rest = scratch.save(rest.where("a <> b").select(*pairs.columns))
+        scratch.drop(pairs, chosen)
+        pairs, each, left = rest, 4 * each, rest.count()
+    scratch.drop(pairs)
+    return parts
+
+
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, shingle: int = 5, width: int = 2, radius: int = 2, prints: int = 3, apart: int = 52) -> DataFrame:
     """docs with one row, of the smallest key, for each group of texts linked by a shingle Jaccard of at least `similarity`.
 
@@ -345,12 +391,12 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     recall 0.99).  Candidates at most `apart` of all bits apart are confirmed
     by the exact similarity of their texts.  What the tree leaves in different
     components then goes through `similar_candidates`, which misses no pair, and
-    the same confirmation.  Only rows of the same words in the same order are
+    the same confirmation, in the rounds of `linked_parts`.  Only rows of the same words in the same order are
     one class without that.  A row without a key comes before those with one.
     """
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    row, bits, removed = (unused_name(docs, x) for x in ("_row", "_prints", "_gone"))
+    row, bits = (unused_name(docs, x) for x in ("_row", "_prints"))
 
     def printed(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.Series]:
         for batch in texts:
@@ -371,28 +417,29 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     one, two = (classes.select(F.col("r").alias(node), F.col("h").alias(h)) for node, h in (("u", "g"), ("v", "h")))
     differing = sum(F.bit_count(F.get("g", F.lit(i)).bitwiseXOR(F.get("h", F.lit(i)))) for i in range(prints))
     edges = scratch.save(edges.join(one, "u").join(two, "v").where(differing <= apart).select("u", "v"))
-    one, two = (wide.select(F.col(row).alias(node), F.col(text).cast("binary").alias(t)) for node, t in (("u", "p"), ("v", "q")))
-
     def confirmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keep = [jaccard(p.as_py(), q.as_py(), shingle) >= similarity for p, q in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = wide.select(F.col(row).alias("r"), F.col(text).cast("binary").alias("t"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(one, "u").join(two, "v").select("u", "v", "p", "q")
-        return pairs.mapInArrow(confirmed, "u long, v long").toDF("a", "b")
+        # only texts of some pair are shuffled, once for both sides
+        met = among(scratch, texts, "r", pairs.select("u").union(pairs.select("v")))
+        one, two = (met.toDF(node, t) for node, t in (("u", "p"), ("v", "q")))
+        pairs = pairs.join(one, "u").join(two, "v").select("a", "b", "p", "q")
+        return pairs.mapInArrow(confirmed, "a long, b long")
 
-    components = connected_components(scratch, links(edges))
+    components = connected_components(scratch, links(edges.withColumns({"a": F.col("u"), "b": F.col("v")})))
     parts = classes.join(components, F.col("r") == F.col("node"), "left").select("r", F.coalesce("component", "r").alias("c"))
-    texts = wide.select(F.col(row).alias("r"), F.col(text).cast("binary").alias("t"))
     parts = scratch.save(parts)
-    rest = links(similar_candidates(scratch, texts, parts, similarity, shingle))
-    components = connected_components(scratch, rest.union(components.toDF("a", "b")))
-    grouped = classes.join(components, F.col("r") == F.col("node"), "left").withColumn("root", F.coalesce("component", "r"))
-    kept = grouped.groupBy("root").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
-    gone = scratch.save(wide.select(F.col(row).alias(removed)).join(kept, F.col(removed) == F.col("_kept"), "left_anti"))
+    parts = linked_parts(scratch, parts, similar_candidates(scratch, texts, parts, similarity, shingle), links)
+    grouped = classes.join(parts.withColumnRenamed("r", "node"), F.col("r") == F.col("node"))
+    kept = grouped.groupBy("c").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
+    found = among(scratch, wide, row, kept).select(*docs.columns)
     scratch.drop(classes, distinct, edges, parts)
-    return wide.join(gone, F.col(row) == F.col(removed), "left_anti").select(*docs.columns)
+    return found
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

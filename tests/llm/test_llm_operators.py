@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import embedding_dedup, encoding, html_extract, licences, mixing, packing, quality, simhash, token_files, topk, toxicity
-from millrace.llm.common import Scratch, connected_components, ranked
+from millrace.llm.common import Scratch, among, connected_components, ranked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, _row string"
 LONG = " ".join(f"w{i % 977}" for i in range(70_000))
@@ -763,3 +763,50 @@ def test_licences_against_brute_force(spark):
 )
 def test_comments_leave_nothing(html, want):
     assert [b.text for b in html_extract.leaf_blocks(html)] == want
+
+
+def test_rows_among_numbers_keep_their_place(spark):
+    scratch = Scratch(spark, "test")
+    rows = spark.range(0, 1000, 1, 7).withColumn("n", F.monotonically_increasing_id())
+    some = rows.where("id % 3 = 0 or id > 990").select("n")
+    want = {i for i in range(1000) if i % 3 == 0 or i > 990}
+    for most in (1 << 20, 1):
+        found = among(scratch, rows, "n", some, most=most)
+        assert found.columns == ["id", "n"] and {r.id for r in found.collect()} == want
+        assert {r.id for r in among(scratch, rows, "n", some, False, most).collect()} == set(range(1000)) - want
+    assert "Exchange hashpartitioning" not in among(scratch, rows, "n", some)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_in_rounds_give_the_components_of_all(spark, monkeypatch):
+    """A group of near copies costs a few pairs a text; pairs that are refuted hide no later one."""
+    monkeypatch.setattr(simhash, "FEW_PAIRS", 3)
+    true = {(u, v) for u in range(30) for v in range(u + 1, 30)} | {(40, 41), (41, 42), (29, 43)}
+    false = {(u, v) for u in range(30, 44) for v in range(u + 1, 44)} - true
+    pairs = [(u, v, u, v, 9 if (u, v) in false else 1) for u, v in sorted(true | false)]
+    scratch, seen = Scratch(spark, "test"), []
+
+    def links(chosen):
+        rows = chosen.select("u", "v", "a", "b").collect()
+        seen.extend((r.u, r.v) for r in rows)
+        return spark.createDataFrame([(r.a, r.b) for r in rows if (r.u, r.v) in true], "a long, b long")
+
+    parts = scratch.save(spark.range(45).select(F.col("id").alias("r"), F.col("id").alias("c")))
+    table = scratch.save(spark.createDataFrame(pairs, "u long, v long, a long, b long, shared long"))
+    found = {r.r: r.c for r in simhash.linked_parts(scratch, parts, table, links).collect()}
+    assert found == {i: 0 if i < 30 or i == 43 else 40 if 40 <= i < 43 else i for i in range(45)}
+    assert len(seen) == len(set(seen)) and len(true & set(seen)) < len(true) / 2
+
+
+def test_sketches_rule_out_pairs_before_texts_are_read(spark):
+    """Pairs that share a first shingle and no more than that are no candidates; all similar ones are."""
+    scratch = Scratch(spark, "test")
+    r = random.Random(4)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(3)]
+    near = base[0][:190] + [f"x{i}" for i in range(10)]
+    # half of the words in common: every shingle of that half may be among the first
+    half = [base[1][:100] + [f"{k}y{i}" for i in range(100)] for k in range(4)]
+    texts = [" ".join(t).encode() for t in (*base, near, *half)]
+    rows = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "r long, t binary")
+    parts = spark.range(len(texts)).select(F.col("id").alias("r"), F.col("id").alias("c"))
+    found = simhash.similar_candidates(scratch, rows, parts, 0.8, 5).collect()
+    assert {(x.u, x.v) for x in found} == {(0, 3)}
