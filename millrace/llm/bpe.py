@@ -30,11 +30,13 @@ CONTROLS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the pattern of words in the vocabulary file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words, and white-space delimited chunks, in each of the two generations that a worker remembers.
-CACHE_WORDS, CACHE_CHUNKS = 200_000, 400_000
+CACHE_WORDS, CACHE_CHUNKS = 100_000, 150_000
 #: Bytes beyond which a word has a tree of its own.
 LONG_WORD = 64
+#: Short words whose trees are held at a time; a tree takes some 40 bytes for each byte of its width.
+SIDE_BY_SIDE = 8192
 #: Texts encoded together, by their length; ids in a batch that goes back to Spark.
-TOGETHER, BATCH_IDS = 4 << 20, 1 << 20
+TOGETHER, BATCH_IDS = 1 << 20, 1 << 20
 
 _codecs: dict[str, "WordBpe"] = {}
 
@@ -202,7 +204,7 @@ class WordBpe:
                 yield word, np.array(self.merged(symbols), dtype="<u4").tobytes()
             else:
                 by_width.setdefault(1 << (len(data) - 1).bit_length(), []).append((word, data))
-        for width, group in by_width.items():
+        for width, group in ((w, g[i : i + SIDE_BY_SIDE]) for w, g in by_width.items() for i in range(0, len(g), SIDE_BY_SIDE)):
             lengths = np.array([len(data) for _, data in group])
             held = np.arange(width) < lengths[:, None]
             symbols = np.full((len(group), width), -1, dtype=np.int64)

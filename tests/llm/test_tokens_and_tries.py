@@ -261,3 +261,14 @@ def test_trie_query(spark):
     out = QUERIES["op13_prefix_trie"](spark, SF)
     assert out.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     assert Counter(tuple(r) for r in out.collect()) == slow_trie(slow_rebuilt(rows))
+
+
+def test_trees_of_many_new_words_are_held_some_at_a_time(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    code, sizes = bpe.WordBpe(path), []
+    rows = code.merged_rows
+    monkeypatch.setattr(code, "merged_rows", lambda symbols: [sizes.append(len(symbols)), rows(symbols)][1])
+    text = " ".join("".join(chr(97 + (i >> s) % 26) for s in (0, 3, 6, 9, 12)) for i in range(0, 1 << 17, 3))
+    found = np.frombuffer(code.encode(text), "<u4").tolist()
+    assert found == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert max(sizes) <= 8192 < sum(sizes)
