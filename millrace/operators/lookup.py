@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import RESERVED, fail_when, require, require_columns
-from ..workspace import unused
+from ..workspace import unused, written
 from .ordering import numbered, running_sum, with_previous
 
 KEEP, REMOVE, FAIL = "keep", "remove", "fail"
@@ -290,6 +290,9 @@ def _best_in_range(left: DataFrame, right: DataFrame, keys: dict[str, str], colu
         ends.append(left.select(*[F.col(k).alias(p) for k, p in zip(keys, places)], beyond.alias("__open"), end.alias("__v"), F.lit(side).alias("__side"), F.struct(*identity).alias("__id")))
     line = running_sum(marks.unionByName(ends[0]).unionByName(ends[1]), F.when(F.col("__side") == 1, 1).otherwise(0), [*places, "__open", "__v", "__side"], "__n")
     runs = line.where("__side <> 1").groupBy("__id").agg(F.max(F.when(F.col("__side") == 0, F.col("__n"))).alias("a"), F.max(F.when(F.col("__side") == 2, F.col("__n"))).alias("b")).where("a < b")
+    # rows of the same run share one search of the index, so that a run that most rows have makes no node hot
+    each = written(runs, "runs")
+    runs = each.select("a", "b").distinct().withColumn("__id", F.struct("a", "b"))
 
     # the run [a, b) as parts of bins and as nodes: level, number, and for parts the run's ends
     probe = lambda level, node, a=F.lit(None).cast("long"), b=F.lit(None).cast("long"): F.struct(F.lit(level).cast("int").alias("level") if isinstance(level, int) else level.cast("int").alias("level"), node.cast("long").alias("node"), a.alias("from"), b.alias("to"))
@@ -317,7 +320,8 @@ def _best_in_range(left: DataFrame, right: DataFrame, keys: dict[str, str], colu
     nodes = lifted.groupBy("level", F.floor(F.col("bin") / F.pow(F.lit(2), F.col("level"))).cast("long").alias("node")).agg(F.max_by("x", F.col("x.__best")).alias("x"))
     items = binned.select(F.lit(-1).alias("level"), "node", "__at", "__best", "__row").union(nodes.select("level", "node", F.lit(None).cast("long"), "x.__best", "x.__row"))
     met = probes.join(items, ["level", "node"]).where(F.col("__at").isNull() | ((F.col("__at") >= F.col("from")) & (F.col("__at") < F.col("to"))))
-    chosen = met.groupBy("__id").agg(F.max_by("__row", "__best").alias("__row"))
+    chosen = met.groupBy("__id").agg(F.max_by("__row", "__best").alias("__row")).select("__id.a", "__id.b", "__row")
+    chosen = each.join(chosen, ["a", "b"])
     return chosen.select(*[F.col(f"__id.{c}").alias(f"__i{i}") for i, c in enumerate(identity)], "__row.*")
 
 

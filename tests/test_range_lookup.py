@@ -43,3 +43,15 @@ def test_hot_key_candidates_are_bounded(spark):
     left = spark.range(300).select(F.col("id").alias("i"), F.lit(1).alias("k"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("low"))
     out = L.expand(left, right, ["k"], ["score"], ["i"], best=F.col("__r_score"), between=(F.col("__r_v"), F.col("low"), F.col("low") + 3999))
     assert {x.i: x.score for x in out.collect()} == {i: max(v * 7919 % 4000 for v in range(0 if i % 3 == 0 else i, 4000)) for i in range(300)}
+
+
+def test_equal_ranges_search_the_index_once(spark, monkeypatch):
+    from millrace.operators import lookup
+
+    written, tables = lookup.written, []
+    monkeypatch.setattr(lookup, "written", lambda df, name: [tables.append(written(df, name)), tables[-1]][1])
+    left = spark.range(300).select("id", F.lit(1).alias("k"), (F.col("id") % 3).alias("low"))
+    right = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    out = lookup.expand(left, right, ["k"], ["v"], ["id"], best=-F.col("__r_v"), between=(F.col("__r_v"), F.col("low"), None))
+    assert sorted((r.id, r.v) for r in out.collect()) == [(i, i % 3) for i in range(300)]
+    assert len(tables) == 1 and tables[0].count() == 300 and tables[0].select("a", "b").distinct().count() == 3
