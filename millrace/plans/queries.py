@@ -17,6 +17,7 @@ from ..operators import sets as S
 from ..sinks import database
 from ..sinks import files as sinks
 from ..sinks.partitioned import write_dynamic
+from ..sinks.shards import Shards
 from ..sources import delimited as D
 from ..sources import json as J
 from ..sources import merge as M
@@ -625,8 +626,8 @@ def observed_write(spark, sf):
 def database_load(spark, sf):
     """Customers loaded into a database table, then merged with others, batch by batch.
 
-    The database is one within a local session's process; with the URL of a server the same calls serve a cluster."""
-    db = database.Database(spark, f"jdbc:derby:memory:load{uuid.uuid4().hex};create=true")
+    The database lies in files of the shared folder, as there is no server; with a server's URL the same calls go by JDBC."""
+    db = Shards(spark, work_path(spark, "database"), by={"customers": ["c_custkey"]})
     rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
     key = F.col("c_custkey")
     database.load(db, rows.where(key % 2 == 0), "customers", "first", batch_rows=4000)

@@ -3,6 +3,7 @@
 Rows reach the database by Spark's own parallel writer, into a stage table.  From there each batch goes into its
 target by SQL, in one transaction with a line in the ledger; so a batch that fails is tried again alone, and one that is
 in the ledger is never done twice, even by another driver.  Only statements pass through the driver.
+Where there is no server, `shards.Shards` is a database of files that tasks load in the same way.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StepFailed, require, require_columns
 from ..workspace import unused, written
+from .shards import Shards
 
 LEDGER = "load_ledger"
 
@@ -88,7 +90,7 @@ def _batch_source(db: Database, stage: str, columns: list[str], number: int, bat
 
 
 def load(
-    db: Database,
+    db: Database | Shards,
     rows: DataFrame,
     table: str,
     load_id: str,
@@ -113,6 +115,8 @@ def load(
     rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "load")
     if keys and rows.dropna(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).count():
         raise StepFailed(f"TooManyMatch: {keys} is no key of the rows to be merged into {table}")
+    if isinstance(db, Shards):
+        return db.load(rows.select(*columns), table, load_id, keys, batch_rows, retries, wait, types, before_commit)
     if not db.exists(LEDGER):
         db.transaction(f"CREATE TABLE {LEDGER} (LOAD_ID VARCHAR(200) NOT NULL, BATCH INT NOT NULL, ROW_COUNT BIGINT, PRIMARY KEY (LOAD_ID, BATCH))")
     if not db.exists(table):
