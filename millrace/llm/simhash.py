@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import typing
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, among, connected_components, text_batches, unused_name
@@ -51,6 +52,8 @@ GROUP = 256
 FEW_PAIRS = 1 << 16
 #: Bits of a sketch of all shingles of a text: each toggles one.
 SKETCH = 1024
+#: Bits of a folded sketch: the parities of every FOLDED-th bit.
+FOLDED = 256
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -292,8 +295,8 @@ def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, sim
     similarity) + 1 of theirs.  Common shingles come last in the order.  Texts
     are grouped by each shingle; only groups of several components are compared,
     block of texts against block, by lengths and by what can still be shared
-    behind the shingle.  What is left is held against sketches of all shingles, which rule out most pairs that are not
-    similar, and none that is, before any text is looked at.
+    behind the shingle.  Sketches of all shingles rule out most pairs that are not similar, and none that is, before any
+    text is looked at: folded ones where two texts meet, so that no row is made of a pair that they rule out, whole ones after that.
     """
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,20 +333,26 @@ def similar_candidates(scratch: Scratch, texts: DataFrame, parts: DataFrame, sim
     posted = listed.select(F.posexplode("own").alias("i", "s"), "r", "c", "n")
     groups = posted.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
     groups = groups.select(F.col("s").alias("shared"), F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
-    several = scratch.save(posted.join(groups, F.col("s") == F.col("shared")).select("s", "r", "c", "n", "i", "blocks"))
+    words = [f"w{j}" for j in range(FOLDED // 64)]
+    parity = lambda j: functools.reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(k)) for k in range(j, SKETCH // 64, len(words))])
+    folded = listed.select(F.col("r").alias("_r"), *[parity(j).alias(w) for j, w in enumerate(words)])
+    several = posted.join(groups, F.col("s") == F.col("shared")).select("s", "r", "c", "n", "i", "blocks")
+    several = scratch.save(several.join(folded, F.col("r") == F.col("_r")).drop("_r"))
     block = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
-    one = several.select("s", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), *[F.col(x).alias(x + "1") for x in "rcni"])
-    two = several.select("s", block.alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), *[F.col(x).alias(x + "2") for x in "rcni"])
+    one = several.select("s", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), *[F.col(x).alias(x + "1") for x in ("r", "c", "n", "i", *words)])
+    two = several.select("s", block.alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), *[F.col(x).alias(x + "2") for x in ("r", "c", "n", "i", *words)])
     long_enough = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-6
     enough_left = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) >= (F.col("n1") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
-    found = one.join(two, ["s", "x", "y"]).where((F.col("r1") < F.col("r2")) & (F.col("c1") != F.col("c2")) & long_enough & enough_left)
+    # a shingle that only one text has toggles one bit, so the bits that differ are at most those shingles
+    most_apart = lambda n, m: (F.col(n) + F.col(m)) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    unlike = sum(F.bit_count(F.col(w + "1").bitwiseXOR(F.col(w + "2"))) for w in words)
+    found = one.join(two, ["s", "x", "y"]).where((F.col("r1") < F.col("r2")) & (F.col("c1") != F.col("c2")) & long_enough & enough_left & (unlike <= most_apart("n1", "n2")))
     found = found.select(F.col("r1").alias("u"), F.col("r2").alias("v"), F.col("c1").alias("a"), F.col("c2").alias("b"))
     found = found.groupBy("u", "v", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
     for node, n, bits in (("u", "n1", "x"), ("v", "n2", "y")):
         found = found.join(listed.select(F.col("r").alias(node), F.col("n").alias(n), F.col("sketch").alias(bits)), node)
-    # a shingle that only one text has toggles one bit, so the bits that differ are at most those shingles
     differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, b: a + b)
-    found = found.where(differing <= (F.col("n1") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    found = found.where(differing <= most_apart("n1", "n2"))
     found = scratch.save(found.select("u", "v", "a", "b", "shared"))
     scratch.drop(listed, several)
     return found
@@ -389,7 +398,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     `prints` independent fingerprints over pairs of words, where such texts are
     nearly always within `radius` of 32 bits in one of the halves (measured
     recall 0.99).  Candidates at most `apart` of all bits apart are confirmed
-    by the exact similarity of their texts.  What the tree leaves in different
+    by the exact similarity of their texts, the closest first.  What the tree leaves in different
     components then goes through `similar_candidates`, which misses no pair, and
     the same confirmation, in the rounds of `linked_parts`.  Only rows of the same words in the same order are
     one class without that.  A row without a key comes before those with one.
@@ -416,7 +425,8 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     edges = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     one, two = (classes.select(F.col("r").alias(node), F.col("h").alias(h)) for node, h in (("u", "g"), ("v", "h")))
     differing = sum(F.bit_count(F.get("g", F.lit(i)).bitwiseXOR(F.get("h", F.lit(i)))) for i in range(prints))
-    edges = scratch.save(edges.join(one, "u").join(two, "v").where(differing <= apart).select("u", "v"))
+    edges = scratch.save(edges.join(one, "u").join(two, "v").where(differing <= apart).select("u", "v", F.col("u").alias("a"), F.col("v").alias("b"), (-differing).alias("shared")))
+
     def confirmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keep = [jaccard(p.as_py(), q.as_py(), shingle) >= similarity for p, q in zip(batch.column(2), batch.column(3))]
@@ -431,14 +441,12 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
         pairs = pairs.join(one, "u").join(two, "v").select("a", "b", "p", "q")
         return pairs.mapInArrow(confirmed, "a long, b long")
 
-    components = connected_components(scratch, links(edges.withColumns({"a": F.col("u"), "b": F.col("v")})))
-    parts = classes.join(components, F.col("r") == F.col("node"), "left").select("r", F.coalesce("component", "r").alias("c"))
-    parts = scratch.save(parts)
+    parts = linked_parts(scratch, scratch.save(classes.select("r", F.col("r").alias("c"))), edges, links)
     parts = linked_parts(scratch, parts, similar_candidates(scratch, texts, parts, similarity, shingle), links)
     grouped = classes.join(parts.withColumnRenamed("r", "node"), F.col("r") == F.col("node"))
     kept = grouped.groupBy("c").agg(F.min(F.struct("k", "r")).alias("least")).select(F.col("least.r").alias("_kept"))
     found = among(scratch, wide, row, kept).select(*docs.columns)
-    scratch.drop(classes, distinct, edges, parts)
+    scratch.drop(classes, distinct, parts)
     return found
 
 

@@ -810,3 +810,24 @@ def test_sketches_rule_out_pairs_before_texts_are_read(spark):
     parts = spark.range(len(texts)).select(F.col("id").alias("r"), F.col("id").alias("c"))
     found = simhash.similar_candidates(scratch, rows, parts, 0.8, 5).collect()
     assert {(x.u, x.v) for x in found} == {(0, 3)}
+
+
+def test_the_trees_candidates_are_confirmed_in_rounds(spark, monkeypatch):
+    """In a group of near copies fewer pairs are confirmed than the tree gives, and one text is kept of each group as ever."""
+    r = random.Random(6)
+    groups = [[f"w{r.randrange(10**6)}" for _ in range(150)] for _ in range(3)]
+    texts = [" ".join([*g[:149], f"{n}x{i}"]) for n, g in enumerate(groups) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, counts = {}, {}
+    linked = simhash.linked_parts
+    for few in (1 << 16, 20):
+        monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+        seen = counts[few] = []
+
+        def counting(scratch, parts, pairs, links, seen=seen):
+            return linked(scratch, parts, pairs, lambda chosen: [seen.append(chosen.count()), links(chosen)][1])
+
+        monkeypatch.setattr(simhash, "linked_parts", counting)
+        kept[few] = sorted(x.doc_id for x in simhash.without_near_duplicates(docs).collect())
+    assert kept[20] == kept[1 << 16] == [0, 25, 50]
+    assert sum(counts[20]) < sum(counts[1 << 16])
