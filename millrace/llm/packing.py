@@ -1,6 +1,12 @@
-"""Packing of tokenised documents into sequences of a fixed capacity by bulk-synchronous best-fit.
+"""Packing of tokenised documents into sequences of a fixed capacity by best fit, longest pieces first.
 
-Pieces longer than half the capacity open a sequence each.  The others are
+`pack_by_size`, for capacities of which the driver can hold a histogram, is exact best-fit decreasing.
+Which gap a piece gets depends on sizes alone, and pieces of a size are alike.  So the pieces are
+range-sorted and numbered, the driver runs best fit over the counts of sizes, on runs of sequences with equal
+gaps, and tasks look up each piece's run by its number.  A plan has some thousand rows, however many pieces there
+are: a size cuts two runs at most, and a sequence of 1024 holds 44 different sizes at most.
+
+`pack` is for any capacity, in supersteps.  Pieces longer than half the capacity open a sequence each.  The others are
 placed in supersteps, longest lengths first, a class of lengths (the next half)
 at a time.  In a superstep the open sequences' gaps and the class's pieces are
 range-sorted together by falling size; a sweep down each range hands every piece
@@ -12,7 +18,7 @@ as many sequences are opened as the class's tokens fill at least.  A gap that
 holds several pieces of the class for certain takes part as so many slots.
 
 The driver sees histograms of sizes (at most `capacity` numbers) and two counts
-a range.  A sweep's task holds one range of the sort, whose ties are cut by row,
+a range in a superstep.  A sweep's task holds one range of the sort, whose ties are cut by row,
 so that no size is hot.
 
 Defined results: null text is an empty document of one end token; null doc_ids
@@ -24,6 +30,7 @@ of that name.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import Counter
 from typing import Iterator
 
@@ -39,6 +46,8 @@ from .common import ONE_TASK, Scratch, few, small_parts, small_table, text_batch
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
+#: The largest capacity that is packed by size.
+MOST_SIZES = 1 << 14
 #: Classes end at lengths of this size, below which all go together.
 SMALLEST_CLASS = 16
 #: Sequences are opened when a sweep places at most this share of its pieces; the next class joins when at most that share is left.
@@ -52,13 +61,13 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     only if longer than the capacity, with the first piece the shorter one.  ids: little-endian unsigned 32-bit."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .encoding import encoder
+        from .byte_words import word_encoder
 
-        encode, last = encoder(vocabulary).encode, np.array([end], dtype="<u4").tobytes()
+        encoder, last = word_encoder(vocabulary), np.array([end], dtype="<u4").tobytes()
         for batch in it:
             rows, pieces, starts, lengths, ids = [], [], [], [], []
-            for row, t in enumerate(batch.column(1)):
-                data = encode(t.as_py()) + last
+            for row, data in enumerate(encoder.encode_all(t.as_py() for t in batch.column(1))):
+                data += last
                 n = len(data) // 4
                 first = n % capacity or min(n, capacity)
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
@@ -170,13 +179,9 @@ def _histogram(sizes: DataFrame) -> Counter:
     return Counter({r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()})  # capacity rows at most
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = (), range_rows: int = ONE_TASK, steps: list | None = None) -> DataFrame:
-    """pieces with sequence_id and offset: each piece (1 <= length <= capacity) in one sequence, gapless from offset 0.
-
-    A superstep of at most `range_rows` rows is one range.  A list given as `steps` gets (pieces, gaps, pieces placed) of each superstep.
-    """
+def _sorted(scratch: Scratch, pieces: DataFrame, length: str, order: tuple[str, ...]) -> DataFrame:
+    """(size, row, id) of the pieces, longest first, in ranges; id is monotonically_increasing_id."""
     spark = pieces.sparkSession
-    scratch = Scratch(spark, "packing")
     kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     rows = pieces.select(F.col(length).cast("int").alias("size"), F.struct(*kept).alias("row")).select("size", "row", *[F.col("row")[c].alias(f"o{i}") for i, c in enumerate(order)])
     drafted = scratch.save(rows)  # a range sort reads its input twice
@@ -184,9 +189,91 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     rows = drafted.repartitionByRange(small_parts(spark), *by).sortWithinPartitions(*by)
     rows = scratch.save(rows.select("size", "row", F.monotonically_increasing_id().alias("id")))
     scratch.drop(drafted)
-    waiting_for = _histogram(rows)
-    if waiting_for and not 1 <= min(waiting_for) <= max(waiting_for) <= capacity:
+    return rows
+
+
+def _check(counts: Counter, capacity: int) -> None:
+    if counts and not (None not in counts and 1 <= min(counts) <= max(counts) <= capacity):
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """The plan of best-fit decreasing for so many pieces of each size, numbered from 0, longest first:
+    (number of the first piece, size, pieces a sequence, first sequence, offset) of pieces that go to neighbouring
+    sequences of one gap, up to the next row's first."""
+    runs: dict[int, list[tuple[int, int]]] = {}  # by gap: (first sequence, sequences)
+    gaps: list[int] = []  # those of runs, rising
+    plan, at, opened = [], 0, 0
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in runs:
+                runs[gap] = []
+                insort(gaps, gap)
+            runs[gap].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            i = bisect_left(gaps, size)
+            if i == len(gaps):
+                new = -(-left // (capacity // size))
+                put(capacity, opened, new)
+                opened += new
+            gap = gaps[i]
+            first, n = runs[gap].pop()
+            if not runs[gap]:
+                del runs[gap], gaps[i]
+            each = gap // size
+            full = min(n, left // each)
+            some = left - full * each if full < n else 0
+            placed = full * each + some
+            plan.append((at, size, each, first, capacity - gap))
+            put(gap - each * size, first, full)
+            put(gap - some * size, first + full, 1 if some else 0)
+            used = full + (1 if some else 0)
+            put(gap, first + used, n - used)
+            at, left = at + placed, left - placed
+    return plan
+
+
+def pack_by_size(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ()) -> DataFrame:
+    """As `pack`, by exact best-fit decreasing over the counts of sizes; capacity: MOST_SIZES at most."""
+    if capacity > MOST_SIZES:
+        raise ValueError(f"a capacity beyond {MOST_SIZES} is for pack()")
+    rows = _sorted(Scratch(pieces.sparkSession, "packing"), pieces, length, order)
+    counts: Counter = Counter()
+    parts: Counter = Counter()
+    # sorted rows: sizes and partitions, at most, in sum
+    for r in rows.groupBy("size", F.shiftright("id", 33).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["size"]] += r["n"]
+        parts[r["part"]] += r["n"]
+    _check(counts, capacity)
+    before = np.cumsum([0, *(parts[i] for i in range(max(parts, default=0)))])
+    plan = np.array(best_fit(counts, capacity), dtype=np.int64).reshape(-1, 5)
+
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = batch.column(1).to_numpy()
+            number = before[ids >> 33] + (ids & ((1 << 33) - 1))
+            first, size, each, sequence, offset = plan[np.searchsorted(plan[:, 0], number, side="right") - 1].T
+            turn, place = np.divmod(number - first, each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence + turn), pa.array(offset + size * place)], ["row", "sequence_id", "offset"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.select("row", "id").mapInArrow(places, f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = (), range_rows: int = ONE_TASK, steps: list | None = None) -> DataFrame:
+    """pieces with sequence_id and offset: each piece (1 <= length <= capacity) in one sequence, gapless from offset 0; in supersteps.
+
+    A superstep of at most `range_rows` rows is one range.  A list given as `steps` gets (pieces, gaps, pieces placed) of each superstep.
+    """
+    spark = pieces.sparkSession
+    scratch = Scratch(spark, "packing")
+    rows = _sorted(scratch, pieces, length, order)
+    waiting_for = _histogram(rows)
+    _check(waiting_for, capacity)
     total, low = sum(waiting_for.values()), capacity // 2
     narrow = rows.select("id", "size")
     own = narrow.where(F.col("size") > low)
@@ -250,4 +337,4 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """The packing of documents with production parameters, each piece's ids given by their crc32."""
     pieces = tokenised_pieces(docs, public_tokenizers.path(VOCABULARY))
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces, order=("doc_id", "piece", "ids_crc32"))
+    return pack_by_size(pieces, order=("doc_id", "piece", "ids_crc32"))

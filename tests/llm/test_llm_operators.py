@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import embedding_dedup, encoding, html_extract, licences, mixing, packing, quality, simhash, token_files, topk, toxicity
+from millrace.llm import byte_words, embedding_dedup, encoding, html_extract, licences, mixing, packing, quality, simhash, token_files, topk, toxicity
 from millrace.llm.common import Scratch, among, connected_components, ranked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, _row string"
@@ -438,6 +438,64 @@ def test_packing_is_as_good_as_best_fit_decreasing(spark, kind, range_rows):
     assert len(steps) >= 2 or kind == "equal"
 
 
+@pytest.mark.parametrize("kind", ["mixed", "small", "large", "equal", "many alike"])
+def test_packing_by_size_is_best_fit_decreasing(spark, kind):
+    r = random.Random(kind)
+    draw = {"mixed": lambda: r.choice((r.randint(1, 100), r.randint(1, 40), 50, 33)), "small": lambda: r.randint(1, 12), "large": lambda: r.randint(30, 100), "equal": lambda: 26, "many alike": lambda: r.choice((3, 40, 41))}[kind]
+    lengths = [draw() for _ in range(600)]
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "id long, length int, offset string").repartition(5)
+    out = packing.pack_by_size(df, 100, order=("id",)).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(out["id"]) == list(range(600)) and dict(zip(out["id"], out["length"])) == dict(enumerate(lengths))
+    before = out.groupby("sequence_id")["length"].cumsum() - out["length"]
+    assert (before == out["offset"]).all() and out.groupby("sequence_id")["length"].sum().max() <= 100
+    assert out["sequence_id"].nunique() == best_fit_decreasing(lengths, 100)
+
+
+def test_plans_of_best_fit_follow_sizes_not_pieces():
+    r = random.Random(8)
+    for _ in range(60):
+        lengths = [r.randint(1, r.choice((9, 30, 64))) for _ in range(r.randint(0, 300))]
+        plan, counts = packing.best_fit(Counter(lengths), 64), sorted(lengths, reverse=True)
+        filled = Counter()
+        for (first, size, each, sequence, offset), end in zip(plan, [*(p[0] for p in plan[1:]), len(lengths)]):
+            assert set(counts[first:end]) == {size}
+            for i in range(end - first):
+                assert filled[sequence + i // each] == offset + size * (i % each)
+                filled[sequence + i // each] += size
+        assert max(filled.values(), default=0) <= 64 and len(filled) == best_fit_decreasing(lengths, 64)
+    few, many = (packing.best_fit({n: times * (1 + n * 7919 % 5000) for n in range(1, 1025)}, 1024) for times in (1, 10_000))
+    assert len(few) < 40_000 and len(many) < 40_000
+
+
+def test_packing_takes_few_jobs(spark):
+    table, seen = docs(spark, [" ".join(f"w{i * j}" for j in range(i % 400)) for i in range(1200)]), []
+    spark.sparkContext.setJobGroup("few jobs", "")
+    try:
+        assert packing.pack_documents(table).count() >= 1200
+        seen = spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(seen) <= 10  # with plans and code of each, which the driver keeps; some 6 a superstep before
+
+
+def test_numbered_words_equal_whole_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own, r = Tokenizer.from_file(path), byte_words.WordEncoder(path), random.Random(4)
+    monkeypatch.setattr(byte_words, "MOST_WORDS", 900)
+    monkeypatch.setattr(byte_words, "TOGETHER", 500)
+    words = ["the", "|", "a|b", "don't", "I'LL'll", "Été", "x" * 300, "12", "3²½", "%%%", "漢字", "\r", "<|endoftext|>", "\u00a0", "\x0b", "\x1c", "\x7f", "“so” – it’s…", "naïve×2", "_a_1_", "ŉǅɏʼn"]
+    texts = ["".join(r.choice(words) + r.choice(["", " ", "  ", "\n", "\t ", " \r\n"]) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    texts += [None, "", *map(chr, range(0x250)), *(f"a{chr(c)}1 {chr(c)}{chr(c)}." for c in [*range(0x250), *range(0x2000, 0x2070)])]
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_a_word_is_encoded_once_whatever_follows_it():
+    own = byte_words.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    list(own.encode_all(["so", " verbena, verbena. verbena! verbena", " verbena; (verbena)"]))
+    assert [w for w in own.words if "verbena" in w] == [" verbena", "verbena"]
+
+
 def test_packing_documents(spark):
     table = odd_docs(spark)
     path = public_tokenizers.path(packing.VOCABULARY)
