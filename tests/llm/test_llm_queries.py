@@ -108,3 +108,16 @@ def test_pipeline_of_odd_rows(spark):
     assert {r.text for r in found["mixing"]} == {r.text for r in found["near_duplicates"]}
     whole = Counter(r.doc_id for r in found["mixing"])
     assert Counter(r.doc_id for r in found["packing"] if r.piece == 0) == whole
+
+
+def test_jobs_of_the_packing_stage_do_not_follow_its_rows(spark):
+    jobs = []
+    for n in (40, 1500):
+        table = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(i * 7 % 300))) for i in range(n)], "doc_id long, text string")
+        spark.sparkContext.setJobGroup(f"packing {n}", "")
+        try:
+            corpus_pipeline.packing_stage(spark, table, "").write.format("noop").mode("overwrite").save()
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"packing {n}")))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1] <= 10
